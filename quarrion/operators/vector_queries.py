@@ -1,0 +1,29 @@
+"""Queries over `embeddings`."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .search import top_k
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+def _query(vectors: DataFrame, vec_id: int = 0) -> list[float]:
+    return vectors.where(F.col("vec_id") == vec_id).first()["embedding"]
+
+
+def vec_topk_filtered(spark, sf_dir):
+    v = _vectors(spark, sf_dir)
+    return top_k(v, _query(v), 10, "cosine", F.col("label").isin(1, 3, 5, 7)).select("vec_id", F.round("score", 5).alias("score"))
+
+
+QUERIES = {"vec_topk_filtered": vec_topk_filtered}
+
+_COSINE = "list_sum(list_transform(range(1, 65), i -> q.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)) / sqrt(list_sum(list_transform(q.embedding, x -> x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(e.embedding, x -> x::DOUBLE * x::DOUBLE)))"
+ORACLE_SQL = {
+    "vec_topk_filtered": f"SELECT vec_id, round(s, 5) AS score FROM (SELECT e.vec_id, {_COSINE} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label IN (1, 3, 5, 7)) ORDER BY s DESC, vec_id LIMIT 10",
+}
