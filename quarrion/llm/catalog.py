@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
+from .order_minhash import op2_order_minhash
+from .quality_rules import OP4_SQL, op4_quality_rules
 from .sentencepiece_codec import op8_sentencepiece
 
-QUERIES = {"op8_sentencepiece": op8_sentencepiece}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {
+    "op2_order_minhash": op2_order_minhash,
+    "op4_quality_rules": op4_quality_rules,
+    "op8_sentencepiece": op8_sentencepiece,
+}
+ORACLE_SQL = {"op4_quality_rules": OP4_SQL}
