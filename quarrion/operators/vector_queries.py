@@ -23,7 +23,7 @@ def vec_topk_filtered(spark, sf_dir):
 
 QUERIES = {"vec_topk_filtered": vec_topk_filtered}
 
-_COSINE = "list_sum(list_transform(range(1, 65), i -> q.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)) / sqrt(list_sum(list_transform(q.embedding, x -> x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(e.embedding, x -> x::DOUBLE * x::DOUBLE)))"
+_COSINE = "list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)) / sqrt(list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
 ORACLE_SQL = {
     "vec_topk_filtered": f"SELECT vec_id, round(s, 5) AS score FROM (SELECT e.vec_id, {_COSINE} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q WHERE e.label IN (1, 3, 5, 7)) ORDER BY s DESC, vec_id LIMIT 10",
 }
