@@ -5,10 +5,12 @@ from __future__ import annotations
 from .order_minhash import op2_order_minhash
 from .quality_rules import OP4_SQL, op4_quality_rules
 from .sentencepiece_codec import op8_sentencepiece
+from .substring_dedup import OP3_SQL, op3_substring_dedup
 
 QUERIES = {
     "op2_order_minhash": op2_order_minhash,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op8_sentencepiece": op8_sentencepiece,
 }
-ORACLE_SQL = {"op4_quality_rules": OP4_SQL}
+ORACLE_SQL = {"op3_substring_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL}
