@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .mixing import op10_mixing
 from .order_minhash import op2_order_minhash
 from .quality_rules import OP4_SQL, op4_quality_rules
 from .sentencepiece_codec import op8_sentencepiece
@@ -11,6 +12,7 @@ QUERIES = {
     "op2_order_minhash": op2_order_minhash,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op10_mixing": op10_mixing,
     "op8_sentencepiece": op8_sentencepiece,
 }
 ORACLE_SQL = {"op3_substring_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL}
