@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .importance import op6_importance
 from .mixing import op10_mixing
 from .order_minhash import op2_order_minhash
 from .quality_rules import OP4_SQL, op4_quality_rules
@@ -13,6 +14,7 @@ QUERIES = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op10_mixing": op10_mixing,
+    "op6_importance": op6_importance,
     "op8_sentencepiece": op8_sentencepiece,
 }
 ORACLE_SQL = {"op3_substring_dedup": OP3_SQL, "op4_quality_rules": OP4_SQL}
