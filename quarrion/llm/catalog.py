@@ -8,12 +8,14 @@ from .order_minhash import op2_order_minhash
 from .quality_rules import OP4_SQL, op4_quality_rules
 from .sentencepiece_codec import op8_sentencepiece
 from .substring_dedup import OP3_SQL, op3_substring_dedup
+from .toxicity import op5_toxicity
 
 QUERIES = {
     "op2_order_minhash": op2_order_minhash,
     "op3_substring_dedup": op3_substring_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op10_mixing": op10_mixing,
+    "op5_toxicity": op5_toxicity,
     "op6_importance": op6_importance,
     "op8_sentencepiece": op8_sentencepiece,
 }

@@ -83,9 +83,9 @@ def mix(x: np.ndarray) -> np.ndarray:
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """base**i and base**-i modulo 2**64 for i < n."""
     if len(_powers[0]) < n:
-        n = max(n, 2 * len(_powers[0]))
+        size = max(n, 2 * len(_powers[0]))
         for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            up = np.full(n, base, np.uint64)
+            up = np.full(size, base, np.uint64)
             up[0] = 1
             with np.errstate(over="ignore"):
                 _powers[k] = np.cumprod(up, dtype=np.uint64)
