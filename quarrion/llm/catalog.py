@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .html_text import op7_html_text
 from .importance import op6_importance
 from .jaccard_join import OP9_SQL, op9_jaccard_join
 from .mixing import op10_mixing
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_toxicity": op5_toxicity,
     "op6_importance": op6_importance,
+    "op7_html_text": op7_html_text,
     "op8_sentencepiece": op8_sentencepiece,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_mixing": op10_mixing,

@@ -13,8 +13,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import LOWER, SPACES, chunks, id_text, mix, rolling, table, words_of, written
+from .common import LOWER, SPACES, chunks, discard, id_text, mix, rolling, table, words_of, written
 
 BUCKETS = 10_000
 #: Labelled documents that the target model is fitted on, at most; those with the least hashes of their ids.
@@ -57,11 +58,17 @@ def model_counts(docs: DataFrame, target: DataFrame, buckets: int) -> tuple[np.n
 
 
 def log_ratio(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
-    """log p_target - log p_raw of each bucket, p_raw being the smoothing prior of p_target as well."""
+    """Log of the importance ratio of each bucket.
+
+    The target model is mixed with the raw one in equal parts (defensive importance sampling), so a ratio is never below 1/2
+    and few target documents don't condemn the others. What the noise of small counts takes from the
+    logarithm on average is given back (delta method).
+    """
     n = len(raw)
     p_raw = (raw + smoothing) / (raw.sum() + smoothing * n)
-    p_target = (target + smoothing * n * p_raw) / (target.sum() + smoothing * n)
-    return np.log(p_target) - np.log(p_raw)
+    r = (target + smoothing * n * p_raw) / (target.sum() + smoothing * n) / p_raw
+    share = r / (1 + r)
+    return np.log((1 + r) / 2) + share * share / (2 * (target + smoothing))
 
 
 def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
@@ -112,27 +119,58 @@ def kth_largest(scored: DataFrame, column: str, k: int, bins: int = 1024, rounds
     return lo
 
 
+def _target_ids(target: DataFrame, seed: int, max_target: int) -> DataFrame:
+    ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
+    return ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_target)
+
+
+def _scored(given: DataFrame, target: DataFrame, buckets: int, seed: int, max_target: int) -> tuple[DataFrame, np.ndarray]:
+    raw, good = model_counts(given, _target_ids(target, seed, max_target), buckets)
+    ratio = log_ratio(raw, good) if good.sum() else np.zeros(buckets)
+    return log_weights(given, ratio).withColumn("gumbel_score", F.col("log_weight") + gumbel(seed, "doc_id", "n_features")), ratio
+
+
+def _threshold(scored: DataFrame, k: int | None) -> float:
+    """The k-th largest score; infinite if nothing is to stay."""
+    if k is None:
+        k = round(scored.agg(F.sum(F.exp(F.least(F.lit(0.0), F.col("log_weight") + MARGIN)))).first()[0] or 0)
+    return kth_largest(scored, "gumbel_score", k) if k > 0 else float("inf")
+
+
 def resample(docs: DataFrame, target: DataFrame, k: int | None = None, buckets: int = BUCKETS, seed: int = 6, id_col: str = "doc_id", text_col: str = "text", max_target: int = MAX_TARGET) -> DataFrame:
     """(doc_id, n_features, log_weight, gumbel_score, kept).
 
     target: (doc_id) of documents known to be good, at most `max_target` of which are used (those with the least
-    hashes); raw counts and weights cover all documents. k defaults to the sum of min(1, weight * e**MARGIN) over all documents, the number that
-    the target model explains about as well as the raw one. Documents that tie with the k-th stay as well. Null and
-    empty texts have weight 1 (log 0). Repeated rows get equal scores; null ids are scored, but never target documents.
-    Without any target document all weights are 1.
+    hashes); raw counts and weights cover all documents. k defaults to the sum of min(1, weight * e**MARGIN) over all documents, the
+    number that the target model explains about as well as the raw one. Documents that tie with the k-th stay as
+    well. Null and empty texts have weight 1 (log 0). Repeated rows get equal scores; null ids are scored, but
+    are never target documents. Without any target document all weights are 1.
     """
-    given = id_text(docs, id_col, text_col)
-    ids = target.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null").distinct()
-    ids = ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_target)
-    raw, good = model_counts(given, ids, buckets)
-    ratio = log_ratio(raw, good) if good.sum() else np.zeros(buckets)
-    scored = log_weights(given, ratio).withColumn("gumbel_score", F.col("log_weight") + gumbel(seed, "doc_id", "n_features"))
+    scored, _ = _scored(id_text(docs, id_col, text_col), target, buckets, seed, max_target)
     scored = written(scored, "scored")
-    if k is None:
-        k = round(scored.agg(F.sum(F.exp(F.least(F.lit(0.0), F.col("log_weight") + MARGIN)))).first()[0] or 0)
-    if k <= 0:
-        return scored.withColumn("kept", F.lit(False))
-    return scored.withColumn("kept", F.col("gumbel_score") >= F.lit(kth_largest(scored, "gumbel_score", k)))
+    return scored.withColumn("kept", F.col("gumbel_score") >= F.lit(_threshold(scored, k)))
+
+
+def keep_sampled(docs: DataFrame, target: DataFrame, k: int | None = None, buckets: int = BUCKETS, seed: int = 6, id_col: str = "doc_id", text_col: str = "text", max_target: int = MAX_TARGET) -> DataFrame:
+    """The rows of docs, all their columns, that resample() keeps: scored anew in place, so that no text is shuffled."""
+    scored, ratio = _scored(id_text(docs, id_col, text_col), target, buckets, seed, max_target)
+    scored = written(scored, "scored")
+    least = _threshold(scored, k)
+    discard(scored)
+    table_of = docs.sparkSession.sparkContext.broadcast(ratio)
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = table_of.value
+        for batch in batches:
+            for row, stop, data, offsets in chunks(batch.column(2)):
+                doc, bucket = features(data, offsets, len(known))
+                n = stop - row
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, known[bucket], n))], ["row", "doc_id", "n_features", "log_weight"])
+
+    schema = T.StructType([packed.schema["row"], packed.schema["doc_id"], T.StructField("n_features", T.LongType()), T.StructField("log_weight", T.DoubleType())])
+    found = packed.mapInArrow(run, schema).where(F.col("log_weight") + gumbel(seed, "doc_id", "n_features") >= F.lit(least))
+    return found.select("row.*")
 
 
 def good_documents(spark: SparkSession, sf_dir: str) -> DataFrame:

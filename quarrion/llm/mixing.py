@@ -81,16 +81,16 @@ def _order(seed: int, *parts) -> Column:
 
 
 def mixed(docs: DataFrame, repetition_limit: float | None = REPETITION_LIMIT, target_entropy: float | None = None, budget: int | None = None, seed: int = 17, blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """docs with `n_tokens`, `weight`, `block` and `copies`: how often the mixture holds each row.
+    """(row, n_tokens, weight, block, copies): row holds all columns of docs, copies is how often the mixture has the row.
 
     A source whose quota is 2.3 times its tokens passes all blocks twice, then the first 0.3 of them in the third
     epoch's order. The document at which a quota ends is still taken whole if at least half of it fits. Documents without
     words weigh nothing; they come as often as their block. Null texts have no words. Rows that repeat are dealt alike.
     """
     seeded = F.lit(seed)
-    rows = docs.withColumns({"_n": word_count(F.coalesce(F.col(text_col), F.lit(""))), "_s": F.col(source_col), "_h": F.xxhash64(seeded, F.col(id_col), F.col(text_col))})
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"), F.col(source_col).alias("_s"), F.xxhash64(seeded, F.col(id_col), F.col(text_col)).alias("_h"))
     rows = rows.withColumn("_b", F.pmod(F.shiftright("_h", 20), F.lit(blocks)).cast("int"))
-    sizes = written(rows.groupBy("_s", "_b").agg(F.sum("_n").alias("t")), "sizes")
+    sizes = written(rows.groupBy("_s", "_b").agg(F.sum(word_count(F.col("_t"))).alias("t")), "sizes")
     weights = source_weights(sizes.select(F.col("_s").alias("source"), F.col("t").alias("n_tokens")), repetition_limit, target_entropy, budget)
     weights = weights.select(F.col("source").alias("_w"), "tokens", "weight", "quota", F.when(F.col("tokens") > 0, F.floor(F.col("quota") / F.col("tokens"))).otherwise(F.lit(1)).cast("long").alias("epochs"))
     plan = sizes.join(weights, F.col("_s").eqNullSafe(F.col("_w"))).drop("_w")
@@ -102,8 +102,8 @@ def mixed(docs: DataFrame, repetition_limit: float | None = REPETITION_LIMIT, ta
 
     order = F.struct(F.xxhash64(seeded, "epochs", "_h").alias("o"), F.col("_h").alias("h"))
     here = F.col("_s").eqNullSafe(F.col("_ps")) & (F.col("_b") == F.col("_pb"))
-    inside = rows.select("_s", "_b", "_h", F.col(text_col).alias("_t")).join(_small(plan.where("cut")), here)
-    inside = inside.select("_ps", "_pb", "room", order.alias("_o"), word_count(F.coalesce("_t", F.lit(""))).alias("n"))
+    inside = rows.select("_s", "_b", "_h", "_t").join(_small(plan.where("cut")), here)
+    inside = inside.select("_ps", "_pb", "room", order.alias("_o"), word_count(F.col("_t")).alias("n"))
     # repeated rows share a hash and are taken or left together
     inside = inside.groupBy("_ps", "_pb", "room", "_o").agg(F.sum("n").alias("n"))
     before = F.sum("n").over(Window.partitionBy("_ps", "_pb").orderBy("_o").rowsBetween(Window.unboundedPreceding, -1))
@@ -114,7 +114,7 @@ def mixed(docs: DataFrame, repetition_limit: float | None = REPETITION_LIMIT, ta
     out = rows.join(_small(plan), here)
     more = F.col("whole") | (F.col("cut") & F.coalesce(order <= F.col("last"), F.lit(False)))
     copies = (F.col("epochs") + F.when(more, 1).otherwise(0)).cast("long")
-    return out.select(*docs.columns, F.col("_n").alias("n_tokens"), "weight", F.col("_b").alias("block"), copies.alias("copies"))
+    return out.select("row", word_count(F.col("_t")).alias("n_tokens"), "weight", F.col("_b").alias("block"), copies.alias("copies"))
 
 
 #: Rows of a plan that may be broadcast, about 100 bytes each: 1,000 sources. A longer plan is joined by shuffle.
@@ -126,11 +126,11 @@ def _small(plan: DataFrame) -> DataFrame:
     return F.broadcast(plan) if plan.count() <= BROADCAST_ROWS else plan
 
 
-def realised(mix: DataFrame, columns: list[str]) -> DataFrame:
-    """Each row of mixed() as often as its copies say."""
-    return mix.where("copies > 0").withColumn("_epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns)
+def realised(mix: DataFrame) -> DataFrame:
+    """The rows of mixed(), in their own columns, each as often as its copies say."""
+    return mix.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    return mixed(docs).select("doc_id", "source", "n_tokens", "weight", "block", "copies")
+    return mixed(docs).select("row.doc_id", "row.source", "n_tokens", "weight", "block", "copies")

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, table, written
+from .common import table, written
 
 #: The expressions of the contract, and the kinds in its order.
 KINDS = {
@@ -101,8 +101,9 @@ def base_spans(text: Column) -> Column:
 
 
 def with_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, base): see base_spans()."""
-    return id_text(docs, id_col, text_col).withColumn("base", base_spans(F.col("text")))
+    """(row, doc_id, text, base): row holds all columns of docs as they came; for base see base_spans()."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return packed.withColumn("base", base_spans(F.col("text")))
 
 
 def _words(side: Column) -> Column:
@@ -178,7 +179,7 @@ def discovered(occ: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text, base, spans): base spans and all spans of each text, by start, then kind.
+    """(row, doc_id, text, base, spans): base spans and all spans of each text, by start, then kind.
 
     Null and empty texts have no spans. Rows with equal id and text have equal spans, each row its own; null ids are
     allowed. Discovered spans never overlap base spans of their document.
@@ -191,7 +192,7 @@ def find(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_
     if extra.count() <= MAX_BROADCAST:
         extra = F.broadcast(extra)
     joined = base.join(extra, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left")
-    return joined.select("doc_id", "text", "base", F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", F.col("extra").cast(_ARRAY)))).alias("spans"))
+    return joined.select("row", "doc_id", "text", "base", F.when(F.col("extra").isNull(), F.col("base")).otherwise(F.sort_array(F.concat("base", F.col("extra").cast(_ARRAY)))).alias("spans"))
 
 
 #: Documents with discoveries that may be broadcast (a few hundred bytes each); more are joined by shuffle.
