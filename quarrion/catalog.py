@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from .operators import vector_queries
+from .queries import graphs, records, relational, texts, vectors
 
-QUERIES = {**vector_queries.QUERIES}
-ORACLE_SQL = {**vector_queries.ORACLE_SQL}
+_MODULES = [vectors, relational, graphs, texts, records]
+QUERIES = {k: v for m in _MODULES for k, v in m.QUERIES.items()}
+ORACLE_SQL = {k: v for m in _MODULES for k, v in m.ORACLE_SQL.items()}
