@@ -104,7 +104,7 @@ def status_violations(spark, sf_dir):
 
 def _bindings(spark, sf_dir):
     """One relation for each line: roles order, part and supplier."""
-    li = _t(spark, sf_dir, "lineitem")
+    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
     rid = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     roles = F.array(*[F.struct(F.lit(r).alias("role"), F.concat(F.lit(p), F.col(c).cast("string")).alias("entity")) for r, p, c in (("order", "O:", "l_orderkey"), ("part", "P:", "l_partkey"), ("supplier", "S:", "l_suppkey"))])
     return li.select(rid.alias("relation_id"), F.explode(roles).alias("x")).select("relation_id", "x.role", "x.entity")
@@ -226,11 +226,11 @@ ORACLE_SQL = {
     "entity_history": f"WITH {_V} SELECT o_custkey, o_orderkey, valid_from, coalesce(valid_until, 9223372036854775807) AS valid_until FROM v WHERE o_custkey <= 100",
     "status_violations": f"WITH {_V} SELECT a.o_custkey, a.valid_from, a.o_orderstatus AS before, b.o_orderstatus AS after FROM v a JOIN v b ON a.o_custkey = b.o_custkey AND a.valid_until = b.valid_from WHERE a.o_orderstatus <> b.o_orderstatus AND (a.o_orderstatus, b.o_orderstatus) NOT IN (('O', 'P'), ('P', 'F'))",
     "rel_role_query": "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS relation_id FROM lineitem WHERE l_suppkey = 7 AND l_linestatus = 'F'",
-    "rel_hyperpattern": "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS relation_id, 'O:' || l_orderkey AS o, 'P:' || l_partkey AS p FROM lineitem WHERE l_suppkey = 5",
+    "rel_hyperpattern": "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS relation_id, 'O:' || l_orderkey AS o, 'P:' || l_partkey AS p FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) WHERE l_suppkey = 5",
     "rel_projection": "SELECT DISTINCT 'S:' || l_suppkey AS src, 'P:' || l_partkey AS dst FROM lineitem",
     "rel_schema_check": "SELECT DISTINCT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS relation_id, 'part' AS role, 'missing role' AS problem FROM lineitem WHERE l_partkey % 10 = 7",
-    "rel_signature": "SELECT 3::BIGINT AS arity, sha256('3|1,1,1') AS signature, count(*) AS relations FROM lineitem",
-    "rel_fingerprint": "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS relation_id, sha256('order=O:' || l_orderkey || ';part=P:' || l_partkey || ';supplier=S:' || l_suppkey) AS fingerprint FROM lineitem",
+    "rel_signature": "SELECT 3::BIGINT AS arity, sha256('3|1,1,1') AS signature, count(*) AS relations FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)",
+    "rel_fingerprint": "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS relation_id, sha256('order=O:' || l_orderkey || ';part=P:' || l_partkey || ';supplier=S:' || l_suppkey) AS fingerprint FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem)",
     "cube_slice": f"WITH {_C} SELECT m AS month, n::BIGINT AS nation, z::BIGINT AS size, round(value, 2) AS value FROM c WHERE m BETWEEN 2 AND 4 AND n BETWEEN 5 AND 9 AND z BETWEEN 10 AND 20",
     "cube_morton": f"WITH {_C} SELECT (" + " + ".join(f"(((({x})::BIGINT >> {b}) & 1) << {3 * b + d})" for b in range(6) for d, x in enumerate("mnz")) + ")::BIGINT AS morton, m::BIGINT AS d0, n::BIGINT AS d1, z::BIGINT AS d2 FROM c",
     **SQL,
