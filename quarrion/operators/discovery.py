@@ -240,7 +240,7 @@ def synthesise(precedents: DataFrame, context: str, weights: tuple[float, float,
     structural = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - F.col("residual")))
     same = F.when(F.col("context") == context, 1.0).otherwise(0.5)
     score = structural * ws + same * wc + F.col("utility") * wu - F.col("contradicting") * wp - F.when(F.col("contradicted"), F.lit(float(wp))).otherwise(0.0)
-    return precedents.withColumn("score", score).orderBy(F.desc("score"), "supporting", "precedent_id")
+    return precedents.withColumn("score", F.round(score, 9)).orderBy(F.desc("score"), "supporting", "precedent_id")
 
 
 def experiment_gain(candidates: DataFrame) -> DataFrame:
