@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 SPACE_CLASS = r"[ \x09-\x0D]+"
 #: Bytes of text handled at once in NumPy (each byte takes about 40 bytes of working memory).
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 19
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,11 +36,22 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
-    """Cuts the lineage: df as a table in the shared folder, so that a lost executor costs no recomputation."""
+    """Cuts the lineage: df as a table in the shared folder, so that a lost executor costs no recomputation.
+
+    Once the table is there nothing needs the shuffles that made it; Spark deletes their files at the end of the write.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quarrion-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEANUP)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -3,8 +3,8 @@
 A document's tokens are hashes of its distinct word shingles. All documents order tokens alike: rare ones
 first, then frequent ones, each by hash. If two sets are similar enough, a set misses at most `slack` of its tokens in the
 other, so prefixes of slack + EXTRA tokens share EXTRA of them. Rare tokens are indexed singly; frequent ones only as
-combinations of two, which a pair that shares no rare token must have in common. Candidates that share fewer rare tokens than
-the prefixes demand are dropped, the others verified on their whole sets.
+combinations of two, which a pair that shares no rare token must have in common. Candidates that share fewer tokens than
+their prefixes demand are dropped, the others verified on their whole sets.
 
 Copies first: documents whose least tokens agree are compared with the smallest id among them and joined at once.
 A token that only one such group has needs no comparison, so groups of thousands are never compared pair by pair,
@@ -28,10 +28,12 @@ EXTRA = 8
 #: Least tokens by which groups of copies are found, and how many must agree with the group's first document.
 LOW, LOW_AGREE = 8, 3
 #: Groups that hold a token for it to count as frequent; raised where more than MAX_FREQUENT tokens would.
-FREQUENT = 32
+FREQUENT = 128
 MAX_FREQUENT = 1 << 20
 #: Bits of bitmaps, as powers of 2: 16 for each entry within these bounds (32 MB at most). False hits cost time only.
 MIN_BITS, MAX_BITS = 16, 28
+#: Documents in a block of a unit of verification.
+UNIT = 64
 _U = np.uint64
 
 
@@ -138,31 +140,52 @@ def _ids(ids: pa.Array) -> np.ndarray:
     return ids.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def verified(docs: DataFrame, pairs: DataFrame, rule: Rule) -> DataFrame:
+def _units(pairs: DataFrame, star: bool) -> DataFrame:
+    """(u, a, b): pairs in units of about UNIT * UNIT pairs of 2 * UNIT documents at most, so that each set is sent
+    once a unit and not once a pair. Pairs of one family (around the same b, or else linked by pairs) share units."""
+    block = lambda c, n: F.pmod(F.xxhash64(c), F.greatest(F.lit(1), F.ceil(F.col(n) / UNIT)))
+    if star:
+        sizes = pairs.groupBy("b").agg(F.count("*").alias("n"))
+        return pairs.join(sizes, "b").select(F.xxhash64("b", block("a", "n")).alias("u"), "a", "b")
+    family = components(pairs)
+    sizes = family.groupBy("component").agg(F.count("*").alias("n"))
+    both = pairs.join(family.withColumnRenamed("id", "a"), "a").join(sizes, "component").withColumn("x", block("a", "n")).withColumn("y", block("b", "n"))
+    return both.select(F.xxhash64("component", F.least("x", "y"), F.greatest("x", "y")).alias("u"), "a", "b")
+
+
+def verified(docs: DataFrame, pairs: DataFrame, rule: Rule, star: bool) -> DataFrame:
     """The pairs (a, b) that link, by their whole sets. pairs: a written table."""
-    wanted = Bitmap(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "id")
+    units = written(_units(pairs, star), "units")
+    need = units.select("u", F.explode(F.array("a", "b")).alias("id")).distinct()
+    wanted = Bitmap(written(need.select("id").distinct(), "wanted"), "id")
 
     def of(ids, data, offsets):
         ids = _ids(ids)
-        need = wanted.holds(ids)
-        if not need.any():
+        held = wanted.holds(ids)
+        if not held.any():
             return None
-        found = [(ids[i], s.tobytes()) for i, s in rule.sets(data, offsets) if need[i] and len(s)]
+        found = [(ids[i], s.tobytes()) for i, s in rule.sets(data, offsets) if held[i] and len(s)]
         return [pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.binary())]
 
-    sets = _each(docs, "id long, tokens binary", of)
-    both = pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb")), "b")
+    sets = need.join(_each(docs, "id long, tokens binary", of), "id").select(F.col("u").alias("unit"), "id", "tokens")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = np.zeros(batch.num_rows, bool)
-            for i in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
-                same = len(np.intersect1d(x, y, assume_unique=True))
-                keep[i] = 100 * same >= rule.percent * (len(x) + len(y) - same)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep))
+    def check(left: pa.Table, right: pa.Table) -> pa.Table:
+        known: dict[int, list[np.ndarray]] = {}
+        for i, raw in zip(right.column("id").to_pylist(), right.column("tokens").to_pylist(), strict=True):
+            known.setdefault(i, []).append(np.frombuffer(raw, np.uint64))
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(run, "a long, b long")
+        def links(x: np.ndarray, y: np.ndarray) -> bool:
+            if 100 * min(len(x), len(y)) < rule.percent * max(len(x), len(y)):
+                return False
+            both = np.concatenate([x, y])
+            both.sort(kind="stable")  # merges two runs
+            same = int((both[1:] == both[:-1]).sum())
+            return 100 * same >= rule.percent * (len(both) - same)
+
+        keep = [any(links(x, y) for x in known.get(a, ()) for y in known.get(b, ())) for a, b in zip(left.column("a").to_pylist(), left.column("b").to_pylist(), strict=True)]
+        return left.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return units.groupBy("u").cogroup(sets.groupBy("unit")).applyInArrow(check, "a long, b long")
 
 
 def _near_sizes(a: Column, b: Column, rule: Rule) -> Column:
@@ -179,7 +202,7 @@ def copies(docs: DataFrame, summary: DataFrame, rule: Rule) -> DataFrame:
     agree = low.join(first, "t").where((F.col("doc_id") > F.col("b")) & _near_sizes(F.col("n"), F.col("m"), rule))
     pairs = agree.groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("c")).where(F.col("c") >= LOW_AGREE).select("a", "b")
     pairs = written(pairs.join(same, ["a", "b"], "left_anti"), "pairs")
-    return same.unionByName(verified(docs, pairs, rule))
+    return same.unionByName(verified(docs, pairs, rule, star=True))
 
 
 def _often(tokens: np.ndarray, common: np.ndarray) -> np.ndarray:
@@ -222,10 +245,25 @@ def frequent_tokens(docs: DataFrame, inner: DataFrame, rule: Rule) -> tuple[np.n
     discard(counts)
     if not len(found):
         return found, [shared]
+    # prefixes that hold frequent tokens reach further among the others, which were not counted above
+    roots = others
+
+    def whole(ids, data, offsets):
+        first = ~roots.holds(_ids(ids))
+        tokens, root = [], []
+        for i, s in rule.sets(data, offsets):
+            if _often(s[: int(rule.prefix(len(s)))], known.value).any():
+                tokens.append(s)
+                root.append(np.full(len(s), first[i]))
+        return [_signed(np.concatenate(tokens)), pa.array(np.concatenate(root).astype(np.int32))] if tokens else None
+
+    known = docs.sparkSession.sparkContext.broadcast(found)
+    counted = _each(docs, "t long, root int", whole).groupBy("t").agg(F.sum("root").alias("roots"))
+    more = counted.where(F.col("roots") >= least).select("t").orderBy(F.xxhash64("t")).limit(MAX_FREQUENT)
+    found = np.union1d(found, np.array([r["t"] for r in more.collect()], np.int64).view(np.uint64))
     known = docs.sparkSession.sparkContext.broadcast(found)
 
     def further(ids, data, offsets):
-        """Prefixes that hold frequent tokens reach further among the rare ones; those tokens were not counted above."""
         tokens = []
         for _, s in rule.sets(data, offsets):
             p = int(rule.prefix(len(s)))
@@ -257,7 +295,7 @@ def signatures(docs: DataFrame, frequent: np.ndarray, shared: list[Bitmap], rule
             values = single.view(np.int64)
             single = single[np.logical_or.reduce([x.holds(values) for x in shared])]
             f, combined = len(late), np.empty(0, np.uint64)
-            if f > 1:
+            if f >= min(EXTRA, n - rule.slack(n)):  # fewer cannot be all that a pair must share
                 x, y = np.triu_indices(f, 1)
                 with np.errstate(over="ignore"):
                     combined = mix(late[x] * _U(0x9E3779B97F4A7C15) + late[y])
@@ -274,6 +312,17 @@ def signatures(docs: DataFrame, frequent: np.ndarray, shared: list[Bitmap], rule
     return _each(docs, "sig long, pair int, doc_id long, n long, f long", of)
 
 
+def _sure(a: str, b: str, rule: Rule) -> Column:
+    """Tokens that linked sets of these sizes share in their prefixes, at least.
+
+    The prefix that ends first holds all shared tokens up to its end, and behind it at most the rest of its set is
+    shared: needed - rest.
+    """
+    needed = F.ceil((F.col(a) + F.col(b)) * rule.percent / (100 + rule.percent))
+    rest = lambda n: F.greatest(F.lit(0), F.ceil(F.col(n) * rule.percent / 100) - EXTRA)
+    return F.greatest(F.lit(1), needed - F.greatest(rest(a), rest(b)))
+
+
 def candidates(sigs: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
     """Pairs (a, b) of different groups that share what linked documents must share."""
     inside = sigs.join(groups.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left").withColumn("g", F.coalesce("component", "doc_id")).drop("component")
@@ -283,11 +332,14 @@ def candidates(sigs: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
     discard(inside)
     x, y = live.alias("x"), live.alias("y")
     meet = (F.col("x.sig") == F.col("y.sig")) & (F.col("x.pair") == F.col("y.pair")) & (F.col("x.doc_id") > F.col("y.doc_id")) & (F.col("x.g") != F.col("y.g")) & _near_sizes(F.col("x.n"), F.col("y.n"), rule)
-    met = x.join(y, meet).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.pair").alias("pair"), F.least("x.f", "y.f").alias("f"), F.least("x.n", "y.n").alias("n"))
-    counted = met.groupBy("a", "b").agg(F.sum(1 - F.col("pair")).alias("rare"), F.sum("pair").alias("combined"), F.max("f").alias("f"), F.min("n").alias("n"))
-    # shared tokens that prefixes of slack + EXTRA (or the whole set) guarantee, of which f at most are frequent
-    sure = F.least(F.lit(EXTRA), F.ceil(F.col("n") * rule.percent / 100))
-    return counted.where((F.col("combined") > 0) | (F.col("rare") >= F.greatest(F.lit(1), sure - F.col("f")))).select("a", "b")
+    # combinations matter only to pairs whose frequent tokens may be all that they share
+    meet = meet & ((F.col("x.pair") == 0) | (F.least("x.f", "y.f") >= _sure("x.n", "y.n", rule)))
+    met = x.join(y, meet).select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"), F.col("x.pair").alias("pair"), F.least("x.f", "y.f").alias("f"), F.col("x.n").alias("na"), F.col("y.n").alias("nb"))
+    counted = met.groupBy("a", "b").agg(F.sum(1 - F.col("pair")).alias("rare"), F.sum("pair").alias("combined"), F.max("f").alias("f"), F.max("na").alias("na"), F.max("nb").alias("nb"))
+    # s shared frequent tokens make s * (s - 1) / 2 shared combinations; where those were not compared, f at most are shared
+    sure = _sure("na", "nb", rule)
+    often = F.when(F.col("combined") > 0, F.round((1 + F.sqrt(1 + 8 * F.col("combined"))) / 2)).when(F.col("f") >= sure, F.least(F.lit(1), F.col("f"))).otherwise(F.col("f"))
+    return counted.where(F.col("rare") + often >= sure).select("a", "b")
 
 
 def joined(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -306,7 +358,7 @@ def joined(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc
     groups = written(components(close), "groups")
     frequent, shared = frequent_tokens(linkable, groups.where("id <> component").select("id"), rule)
     pairs = written(candidates(signatures(linkable, frequent, shared, rule), groups, rule), "candidates")
-    more = verified(linkable, pairs, rule)
+    more = verified(linkable, pairs, rule, star=False)
     whole = components(close.unionByName(more))
     out = summary.select("doc_id", F.col("n").alias("n_shingles")).join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
