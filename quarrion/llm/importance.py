@@ -95,6 +95,8 @@ def gumbel(seed: int, *keys: str) -> Column:
 def kth_largest(scored: DataFrame, column: str, k: int, bins: int = 1024, rounds: int = 5) -> float:
     """The k-th largest value, by histograms: each round counts `bins` bins of the interval that holds it."""
     lo, hi = scored.agg(F.min(column), F.max(column)).first()
+    if lo is None:
+        return float("inf")
     above = 0
     for _ in range(rounds):
         if not hi > lo:
