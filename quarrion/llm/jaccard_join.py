@@ -248,17 +248,20 @@ def frequent_tokens(docs: DataFrame, inner: DataFrame, rule: Rule) -> tuple[np.n
     # prefixes that hold frequent tokens reach further among the others, which were not counted above
     roots = others
 
-    def whole(ids, data, offsets):
+    def behind(ids, data, offsets):
+        """Tokens that such a prefix may reach: some for each of its frequent ones."""
         first = ~roots.holds(_ids(ids))
         tokens, root = [], []
         for i, s in rule.sets(data, offsets):
-            if _often(s[: int(rule.prefix(len(s)))], known.value).any():
-                tokens.append(s)
-                root.append(np.full(len(s), first[i]))
+            p = int(rule.prefix(len(s)))
+            f = int(_often(s[:p], known.value).sum())
+            if f and p < len(s):
+                tokens.append(s[p : p + 4 * f + EXTRA])
+                root.append(np.full(len(tokens[-1]), first[i]))
         return [_signed(np.concatenate(tokens)), pa.array(np.concatenate(root).astype(np.int32))] if tokens else None
 
     known = docs.sparkSession.sparkContext.broadcast(found)
-    counted = _each(docs, "t long, root int", whole).groupBy("t").agg(F.sum("root").alias("roots"))
+    counted = _each(docs, "t long, root int", behind).groupBy("t").agg(F.sum("root").alias("roots"))
     more = counted.where(F.col("roots") >= least).select("t").orderBy(F.xxhash64("t")).limit(MAX_FREQUENT)
     found = np.union1d(found, np.array([r["t"] for r in more.collect()], np.int64).view(np.uint64))
     known = docs.sparkSession.sparkContext.broadcast(found)
