@@ -154,8 +154,6 @@ def differ(page: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -
             gone = {i for i in shared if not page[i][1]}
             kept = [x for i, x in enumerate(page) if i not in gone]
             deleted = len(gone)
-    if any(main for _, main in page):
-        kept = [x for x in kept if x[1]]
     return [x for x, _ in kept], deleted
 
 

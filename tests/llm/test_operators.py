@@ -298,6 +298,16 @@ def test_html_text(spark):
     assert html_text.extract(same).count() == 3
 
 
+def test_html_text_outside_landmarks(spark):
+    """Lines outside <article> stay when they are the page's own, and go when its pair has them."""
+    page = lambda k: f"<body><p>Welcome to the site</p><article><p>Teaser {k}</p><p>Read more</p></article><p>Main text {k} that stands outside of the article, longer than the rest</p></body>"
+    rows = [(k, f"http://h.org/{k}", page(k)) for k in (1, 2)] + [(3, "http://z.org/3", page(3))]
+    found = {r["page_id"]: r for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    for k in (1, 2):
+        assert found[k]["text"] == f"Teaser {k}\nRead more\nMain text {k} that stands outside of the article, longer than the rest" and found[k]["n_deleted"] == 1
+    assert found[3]["text"].startswith("Welcome to the site\nTeaser 3") and found[3]["n_deleted"] == 0
+
+
 def test_common_lines():
     rng = random.Random(0)
     for _ in range(200):
