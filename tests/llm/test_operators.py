@@ -255,6 +255,19 @@ def test_toxicity(spark, nothing):
     assert {r["score"] for r in toxicity.score(docs.limit(3), toxicity.fit(docs, labels.limit(0))).collect()} == {0.0}
 
 
+def test_toxicity_rare_terms(spark):
+    """Every example stays in the index, and a text of words that no other example has finds its copy."""
+    rows = [*toxic_rows(), (1000, "qqa qqb qqc qqd qqe", 1), (1001, "zza zzb zzc zzd zze", 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    index = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, label int"))
+    assert sorted(index.ids) == sorted(i for i, _, _ in rows)
+    found = {r["doc_id"]: r for r in toxicity.score(spark.createDataFrame([(1, rows[-2][1]), (2, rows[-1][1])], "doc_id long, text string"), index).collect()}
+    for k, (i, _, y) in ((1, rows[-2]), (2, rows[-1])):
+        best = found[k]["evidence"][0]
+        assert (best["doc_id"], best["label"]) == (i, y) and math.isclose(best["cosine"], 1, abs_tol=1e-5)
+    assert found[1]["score"] > index.prior > found[2]["score"]
+
+
 # --- 6 -----------------------------------------------------------------------------------------------------------------
 
 
