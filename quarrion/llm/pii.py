@@ -3,7 +3,7 @@
 Seed entities come from fixed expressions. The words around them are lexical patterns; patterns and the values found beside
 them form a graph that is scored in rounds: a pattern is worth the share of its distinct values that are
 believed to be of the kind, a value what its patterns together make likely. Patterns that reach a
-confidence with enough distinct seeds discover values of the kind that no expression matches.
+confidence with enough distinct seeds discover values of the kind that no expression matches, of one word or several.
 """
 
 from __future__ import annotations
@@ -45,8 +45,11 @@ MIN_CONFIDENCE = 0.8
 
 def _spans(text: Column, expression: str) -> Column:
     """array<struct<start, end, value>> of the matches, leftmost and not overlapping; code points, end exclusive."""
-    gaps = F.split(text, expression, -1)
-    hits = F.regexp_extract_all(text, F.lit(expression), F.lit(0))
+    return _placed(F.split(text, expression, -1), F.regexp_extract_all(text, F.lit(expression), F.lit(0)))
+
+
+def _placed(gaps: Column, hits: Column) -> Column:
+    """Spans of hits between gaps. Both should be columns of a table where there may be many: they are read once a hit."""
     empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
     start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
 
@@ -122,18 +125,46 @@ def _patterns(text: Column, start: Column, end: Column) -> Column:
     return F.filter(made, lambda p: p.isNotNull())
 
 
-#: Candidates for discovery: words with a digit or an at sign in them, without marks at their ends.
+#: Candidates for discovery of one word: with a digit or an at sign in them, without marks at their ends.
 _CANDIDATE = r"(?<![^ \x09-\x0D(\[\"'<=:])[^ \x09-\x0D(\[\"'<>]*[0-9@][^ \x09-\x0D\"'<>]*"
+#: Candidates of several words: maximal runs of digit groups, and names at hosts.
+_GROUPS = r"(?<![\p{L}0-9@])[(\[]?\+?[0-9]++(?![\p{L}0-9@])(?:[\x20()\[\]./-]{1,3}[0-9]++(?![\p{L}0-9@]))+"
+_AT = r"(?i)(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++(?:\x20?[(\[]at[)\]]\x20?|\x20(?:at|@)\x20)[\p{L}\p{N}-]++(?:(?:\.|\x20?[(\[]dot[)\]]\x20?|\x20dot\x20)[\p{L}\p{N}-]++)*+"
+#: What a text must contain for candidates of names at hosts, and for any occurrence.
+_AT_HINT = r"(?i)[\x20(\[](?:at|@)[\x20)\]]"
+_ANY = r"(?i)[0-9@]|[\x20(\[]at[\x20)\]]"
+
+
+def _masked(text: Column, base: Column) -> Column:
+    """The text with a control character for each character of its base spans."""
+    cover = lambda t, x: F.overlay(t, F.repeat(F.lit("\x01"), x["end"] - x["start"]), x["start"] + 1, x["end"] - x["start"])
+    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(base, text, cover))
+
+
+def _candidates(rich: DataFrame) -> DataFrame:
+    """(doc_id, th, text, x): spans for discovery beside the base spans: digit groups, names at hosts, and words in no digit group.
+
+    Each step's columns are read several times in the next, so that Spark computes them once a row.
+    """
+    none = F.array().cast("array<string>")
+    rest = rich.select("doc_id", "th", "text", "base", _masked(F.col("text"), F.col("base")).alias("rest"))
+    looked = {"groups": ("rest", _GROUPS, "[0-9]"), "at": ("rest", _AT, _AT_HINT), "free": ("text", _CANDIDATE, "[0-9@]")}
+    both = [c for k, (t, e, hint) in looked.items() for c in (F.when(F.col("text").rlike(hint), F.split(t, e, -1)).otherwise(none).alias(f"{k}_gaps"), F.when(F.col("text").rlike(hint), F.regexp_extract_all(t, F.lit(e), F.lit(0))).otherwise(none).alias(f"{k}_hits"))]
+    found = rest.select("doc_id", "th", "text", "base", *both)
+    found = found.select("doc_id", "th", "text", "base", *[_placed(F.col(f"{k}_gaps"), F.col(f"{k}_hits")).alias(k) for k in looked])
+    bare = lambda x: F.length(F.rtrim(x["value"], F.lit(".,;:!?)]")))
+    held = lambda x: F.exists("groups", lambda g: (g["start"] <= x["start"]) & (x["start"] + bare(x) <= g["end"]))
+    alone = F.filter("free", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & ~held(x))
+    return found.select("doc_id", "th", "text", F.explode(F.concat("groups", "at", alone)).alias("x"))
 
 
 def occurrences(base: DataFrame) -> DataFrame:
     """(doc_id, th, kind, start, end, value, patterns): seeds with their kind, candidates with kind null."""
-    rich = base.where(F.col("text").rlike("[0-9@]")).withColumn("th", F.xxhash64("text"))
+    rich = base.where(F.col("text").rlike(_ANY)).withColumn("th", F.xxhash64("text"))
     seeds = rich.select("doc_id", "th", "text", F.explode("base").alias("x"))
     names = F.array(*[F.lit(k) for k in KINDS])
     seeds = seeds.select("doc_id", "th", F.get(names, F.col("x.rank")).alias("kind"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.lower("x.value").alias("value"), "text")
-    free = F.filter(_spans(F.col("text"), _CANDIDATE), lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])))
-    loose = rich.select("doc_id", "th", "text", F.explode(free).alias("x"))
+    loose = _candidates(rich)
     stripped = F.rtrim(F.col("x.value"), F.lit(".,;:!?)]"))
     loose = loose.select("doc_id", "th", F.lit(None).cast("string").alias("kind"), F.col("x.start").alias("start"), (F.col("x.start") + F.length(stripped)).cast("int").alias("end"), F.lower(stripped).alias("value"), "text").where("end > start")
     both = seeds.unionByName(loose)
@@ -188,7 +219,9 @@ def find(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_
     occ = written(occurrences(base), "occurrences")
     more = discovered(occ, rounds, min_seeds, min_confidence)
     extra = more.groupBy(F.col("doc_id").alias("_d"), F.col("th").alias("_t")).agg(F.collect_set(F.struct("start", "rank", "end", "value")).alias("extra"))
-    extra = written(extra, "extra")
+    # of spans of a kind inside each other the longest
+    inside = lambda x, y: (y["rank"] == x["rank"]) & (y["start"] <= x["start"]) & (y["end"] >= x["end"]) & (y["end"] - y["start"] > x["end"] - x["start"])
+    extra = written(extra.withColumn("extra", F.filter("extra", lambda x: ~F.exists("extra", lambda y: inside(x, y)))), "extra")
     if extra.count() <= MAX_BROADCAST:
         extra = F.broadcast(extra)
     joined = base.join(extra, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_t")), "left")

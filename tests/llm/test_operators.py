@@ -108,6 +108,20 @@ def test_pii_patterns_discover(spark):
     assert [r["redacted"] for r in red] == ["🙂 [EMAIL] and [IP].", ""]
 
 
+def test_pii_patterns_discover_several_words(spark):
+    rng = random.Random(6)
+    texts = [f"{prose(rng, 8)} contact mail: u{i}@site{i}.org thanks {prose(rng, 5)}" for i in range(40)]
+    texts += [f"{prose(rng, 8)} call phone: +1 555 20{i:02} 4567 today {prose(rng, 5)}" for i in range(40)]
+    hidden = ["phone: 555 123 4567", "phone: (555) 123-4568", "phone: 555.123 4569", "mail: jane at example dot com", "mail: jane(at)host", "mail: jim [at] host.org"]
+    n = len(texts)
+    # room numbers and prose with "at" in it are candidates, but no pattern vouches for them
+    texts += [f"w1 look at the room 12 34 56 78 w2 {'call' if 'phone' in h else 'contact'} {h} {'today' if 'phone' in h else 'thanks'} w3" for h in hidden] + ["9.8.7.6 call phone: 555 123 4570 today"]
+    found = {r["doc_id"]: r for r in pii.find(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for i, h in enumerate(hidden, n):
+        assert [texts[i][x["start"] : x["end"]] for x in found[i]["spans"]] == [h.split(": ")[1]]
+    assert [texts[-1][x["start"] : x["end"]] for x in found[len(texts) - 1]["spans"]] == ["9.8.7.6", "555 123 4570"]
+
+
 def test_pii_repeated_and_none(spark, nothing):
     assert pii.find(nothing).count() == 0
     two = spark.createDataFrame([(1, "a@b.c"), (1, "a@b.c"), (None, "d@e.f"), (2, None)], "doc_id long, text string")
