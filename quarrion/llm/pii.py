@@ -238,13 +238,13 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(found: DataFrame) -> DataFrame:
-    """found with `redacted`: every span's text replaced by its kind in brackets; of overlapping spans the first."""
+    """found with `redacted`: every span's text replaced by its kind in brackets, overlapping spans together by the first one's."""
     names = F.array(*[F.lit(k.upper()) for k in KINDS])
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
     def step(acc: Column, x: Column) -> Column:
         piece = F.concat(F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.get(names, x["rank"]), F.lit("]"))
-        return F.when(x["start"] < acc["at"], acc).otherwise(F.struct(x["end"].alias("at"), F.array_append(acc["parts"], piece).alias("parts")))
+        return F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["parts"].alias("parts"))).otherwise(F.struct(x["end"].alias("at"), F.array_append(acc["parts"], piece).alias("parts")))
 
     done = F.aggregate("spans", start, step)
     return found.withColumn("done", done).withColumn("redacted", F.when(F.size("spans") == 0, F.col("text")).otherwise(F.concat(F.array_join("done.parts", ""), F.expr("substring(text, done.at + 1)")))).drop("done")

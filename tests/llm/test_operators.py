@@ -122,6 +122,13 @@ def test_pii_patterns_discover_several_words(spark):
     assert [texts[-1][x["start"] : x["end"]] for x in found[len(texts) - 1]["spans"]] == ["9.8.7.6", "555 123 4570"]
 
 
+def test_pii_redact_overlaps(spark):
+    texts = ["a 4111 1111 1111 1111@host.com b", "a 1.2.3.4111 1111 1111 1111 b x@y.z", "plain"]
+    spans = [[(2, 2, 21, "card"), (17, 0, 30, "email")], [(2, 1, 12, "ip"), (8, 2, 27, "card"), (10, 2, 12, "card"), (30, 0, 35, "email")], []]
+    rows = spark.createDataFrame(list(zip(range(3), texts, spans)), f"doc_id long, text string, spans {pii._ARRAY}")
+    assert [r["redacted"] for r in pii.redact(rows).orderBy("doc_id").collect()] == ["a [CARD] b", "a [IP] b [EMAIL]", "plain"]
+
+
 def test_pii_repeated_and_none(spark, nothing):
     assert pii.find(nothing).count() == 0
     two = spark.createDataFrame([(1, "a@b.c"), (1, "a@b.c"), (None, "d@e.f"), (2, None)], "doc_id long, text string")
