@@ -283,3 +283,11 @@ def test_crawl(spark, tmp_path):
     assert stores.crawl(spark, str(tmp_path), "*.md").select("content").first()[0].startswith("# T")
     piece = stores.crawl(spark, str(tmp_path), "*.bin").select(stores.byte_range(F.col("content").cast("binary"), 4, 100)).first()[0]
     assert bytes(piece) == b"456789"
+
+
+def test_hashed_embeddings_finds_long_documents(spark, tmp_path):
+    from quarrion.queries.texts import hashed_embeddings
+
+    rows = [(1, "alpha beta gamma"), (2, "alpha beta gamma " * 100), (3, "delta epsilon")]
+    spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r["doc_id"] for r in hashed_embeddings(spark, str(tmp_path)).collect()} == {1, 2, 3}
