@@ -3,8 +3,10 @@
 Pages of a host stand in order of their URL path, and each is paired with the neighbour whose path begins most like
 its own. Text lines (blocks) of the two pages are aligned by longest common subsequence; shared lines are template and are
 deleted, unless an <article> or <main> element holds them: there repeated sentences belong to the text. Two pages
-that share most of their text are copies, and say nothing about their template. Elements that can't be main text
-(menus, forms, scripts, adverts, reader comments) are left out beforehand.
+that share most of their text are copies, and say nothing about their template: the other neighbour is asked then.
+
+Differencing cannot see furniture that differs from page to page (rotating adverts, menus of the day). Where markup
+says what it is, it is left out beforehand: by elements (menus, forms, scripts), or by class, id and role.
 """
 
 from __future__ import annotations
@@ -13,6 +15,7 @@ import re
 from collections.abc import Iterator
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -41,21 +44,24 @@ CONTAINERS = {"article", "main", "section", "div", "header", "ul", "ol", "dl", "
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 #: Names in class, id or role that mark what isn't main text.
 _SIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notices?|popup|modal|overlay|newsletter|subscri\w*|sidebar|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"footer|header|masthead|comments?|commentlist|disqus|respond|reply|replies|share|sharing|social|related|recommend\w*|pagination|pager|widget|login|search|contentinfo|complementary|dialog|alert)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|cookies?|consent|notices?|popup|modal|overlay|newsletter|subscri\w*|sidebar|menu|nav|navbar|navigation|breadcrumbs?|"
+    r"footer|comments?|commentlist|disqus|respond|reply|replies|share|sharing|social|related|recommend\w*|pagination|pager|widget|login|search|contentinfo|complementary|dialog|alert)(?:$|[\s_-])",
     re.I,
 )
+#: Names that mark the top of a page; inside <article> and <main> they mark the head of the text, which has its title.
+_TOP = re.compile(r"(?:^|[\s_-])(?:header|masthead|banner)(?:$|[\s_-])", re.I)
 #: Pages that share more of their text than this are copies of each other.
 COPY_SHARE = 0.5
 
 
-def _is_side(name: str, attrs: str) -> bool:
-    if not attrs or name in ("html", "body"):
+def _is_side(name: str, attrs: str, inside: bool) -> bool:
+    """Whether attributes mark an element as no main text; inside: of an <article> or <main>."""
+    if not attrs or name in ("html", "body", "article", "main") or re.fullmatch("h[1-6]", name):
         return False
     found = {k.lower(): v.strip("\"'") for k, v in _ATTR.findall(attrs)}
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
         return True
-    return any(_SIDE.search(found[k]) for k in ("class", "id", "role") if k in found)
+    return any(_SIDE.search(found[k]) or (not inside and _TOP.search(found[k])) for k in ("class", "id", "role") if k in found)
 
 
 def lines(html: str) -> list[tuple[str, bool]]:
@@ -64,10 +70,11 @@ def lines(html: str) -> list[tuple[str, bool]]:
     parts: list[str] = []
     stack: list[tuple[str, bool, bool]] = []  # element, whether it hides its text, whether it is main content
     hidden, main = 0, 0
+    aside = False  # in a block of its own (a paragraph, an item) that isn't main text
     at = 0
 
     def text(piece: str) -> None:
-        if piece and not hidden:
+        if piece and not hidden and not aside:
             parts.append(unescape(piece) if "&" in piece else piece)
 
     def end_block() -> None:
@@ -94,6 +101,7 @@ def lines(html: str) -> list[tuple[str, bool]]:
             continue
         if name in BLOCKS or name in NEVER:
             end_block()
+            aside = not closing and name not in CONTAINERS and name not in VOID and _is_side(name, attrs, main > 0)
         elif name in ("br", "td", "th", "img"):
             text(" ")
         if name in VOID or name not in CONTAINERS:
@@ -101,7 +109,7 @@ def lines(html: str) -> list[tuple[str, bool]]:
         if not closing:
             if attrs.endswith("/"):
                 continue
-            hides = name in NEVER or _is_side(name, attrs) or (name == "header" and not main)
+            hides = name in NEVER or _is_side(name, attrs, main > 0) or (name == "header" and not main)
             holds = name in ("article", "main") and not hides and not hidden
             stack.append((name, hides, holds))
             hidden += hides
@@ -118,43 +126,79 @@ def lines(html: str) -> list[tuple[str, bool]]:
     return out
 
 
-def common(a: list[str], b: list[str]) -> list[int]:
-    """Places in a of a longest common subsequence of a and b, by bit-parallel rows."""
-    m = len(b)
-    places: dict[str, int] = {}
-    for j, x in enumerate(b):
-        places[x] = places.get(x, 0) | 1 << j
+def _row(places: dict[str, int], a: list[str], m: int) -> int:
+    """The last row of the LCS table of a and m lines, as bits: column j adds one to the length where bit j is 0."""
     full = (1 << m) - 1
-    rows = [full]
+    v = full
     for x in a:
-        v = rows[-1]
-        u = v & places.get(x, 0)
-        rows.append(((v + u) | (v - u)) & full)
-    length = lambda i, j: j - (rows[i] & ((1 << j) - 1)).bit_count()
-    out = []
-    i, j = len(a), m
-    while i and j:
-        if a[i - 1] == b[j - 1]:
-            out.append(i - 1)
-            i, j = i - 1, j - 1
-        elif length(i - 1, j) >= length(i, j - 1):
-            i -= 1
-        else:
-            j -= 1
-    return out[::-1]
-
-
-def differ(page: list[tuple[str, bool]], other: list[tuple[str, bool]] | None) -> tuple[list[str], int]:
-    """(lines left, lines deleted as template) of a page beside its pair."""
-    kept = page
-    deleted = 0
-    if other:
+        if u := v & places.get(x, 0):
+            v = ((v + u) | (v - u)) & full
+    return v
+
+
+def _places(b: list[str]) -> dict[str, int]:
+    at: dict[str, list[int]] = {}
+    for j, x in enumerate(b):
+        at.setdefault(x, []).append(j)
+    out = {}
+    for x, js in at.items():
+        bits = bytearray((js[-1] >> 3) + 1)
+        for j in js:
+            bits[j >> 3] |= 1 << (j & 7)
+        out[x] = int.from_bytes(bits, "little")
+    return out
+
+
+def _lengths(v: int, m: int) -> np.ndarray:
+    """LCS lengths with the first 0, 1, ..., m lines."""
+    bits = np.unpackbits(np.frombuffer(v.to_bytes((m >> 3) + 1, "little"), np.uint8), bitorder="little")[:m]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def common(a: list[str], b: list[str]) -> list[int]:
+    """Places in a of a longest common subsequence of a and b.
+
+    Bit-parallel rows halve a, and each half goes with the part of b that suits it best, so that memory grows
+    with the number of lines and not with its square. Lines that only one side has can't matter and go first.
+    """
+    known_a, known_b = set(a), set(b)
+    keep = [i for i, x in enumerate(a) if x in known_b]
+    a, b = [a[i] for i in keep], [x for x in b if x in known_a]
+    out: list[int] = []
+    todo = [(0, len(a), 0, len(b))]
+    while todo:
+        lo, hi, first, last = todo.pop()
+        while lo < hi and first < last and a[lo] == b[first]:
+            out.append(keep[lo])
+            lo, first = lo + 1, first + 1
+        while lo < hi and first < last and a[hi - 1] == b[last - 1]:
+            hi, last = hi - 1, last - 1
+            out.append(keep[hi])
+        if lo >= hi or first >= last:
+            continue
+        if hi - lo == 1:
+            if a[lo] in b[first:last]:
+                out.append(keep[lo])
+            continue
+        half, m = (lo + hi) // 2, last - first
+        piece = b[first:last]
+        front = _lengths(_row(_places(piece), a[lo:half], m), m)
+        piece.reverse()
+        back = _lengths(_row(_places(piece), a[half:hi][::-1], m), m)[::-1]
+        cut = first + int(np.argmax(front + back))
+        todo += [(lo, half, first, cut), (half, hi, cut, last)]
+    return sorted(out)
+
+
+def differ(page: list[tuple[str, bool]], others: list[list[tuple[str, bool]]]) -> tuple[list[str], int]:
+    """(lines left, lines deleted as template) of a page beside the first of others that is no copy of it."""
+    size = sum(len(x) for x, _ in page)
+    for other in others:
         shared = common([x for x, _ in page], [x for x, _ in other])
-        if sum(len(page[i][0]) for i in shared) <= COPY_SHARE * sum(len(x) for x, _ in page):
+        if sum(len(page[i][0]) for i in shared) <= COPY_SHARE * size:
             gone = {i for i in shared if not page[i][1]}
-            kept = [x for i, x in enumerate(page) if i not in gone]
-            deleted = len(gone)
-    return [x for x, _ in kept], deleted
+            return [x for i, (x, _) in enumerate(page) if i not in gone], len(gone)
+    return [x for x, _ in page], 0
 
 
 def _prefix(a: str, b: str) -> int:
@@ -170,7 +214,9 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     """(page_id, url, text, n_chars, n_deleted): the main text of each page, its blocks joined by line feeds.
 
     Null and empty pages have an empty text. Pages without a URL are paired with none. Rows that repeat are pages
-    of their own. Pages at equal distance from both neighbours are paired with the one before.
+    of their own. Pages at equal distance from both neighbours are paired with the one before; a page whose
+    two neighbours are copies of it loses nothing. Alignment takes memory in proportion to a page's lines. Other
+    columns, whatever their names, are left behind.
     """
     spark = pages.sparkSession
     partitions = partitions_for(spark)
@@ -202,9 +248,8 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             return other is not None and other["bucket"] == r["bucket"] and other["host"] == r["host"] != "" and r["url"] is not None
 
         def done(before, r, after):
-            close = [(_prefix(r["path"], o["path"]), o) for o in (before, after) if near(r, o)]
-            pair = max(close, key=lambda x: x[0])[1] if close else None
-            kept, deleted = differ(r["lines"], pair and pair["lines"])
+            close = sorted((o for o in (before, after) if near(r, o)), key=lambda o: -_prefix(r["path"], o["path"]))
+            kept, deleted = differ(r["lines"], [o["lines"] for o in close])
             text = "\n".join(kept)
             out.append((r["page_id"], r["url"], text, len(text), deleted))
 

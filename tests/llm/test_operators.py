@@ -342,6 +342,64 @@ def test_html_text_outside_landmarks(spark):
     assert found[3]["text"].startswith("Welcome to the site\nTeaser 3") and found[3]["n_deleted"] == 0
 
 
+def test_html_text_against_brute_force(spark):
+    """Sites with shared furniture and no landmarks: every page against its pair, found and aligned the slow way."""
+    rng = random.Random(11)
+    rows, texts = [], {}
+    for k in range(120):
+        host, path = f"s{rng.randrange(4)}.org", f"/{rng.choice('ab')}/{rng.randrange(1000)}/{k}"
+        section = path[1]
+        lines = [f"Menu of {host}", f"Section {section}"] + [f"Sentence {k} {j} with words of its own" for j in range(rng.randint(3, 8))] + ([f"Offer {section}"] if rng.random() < 0.7 else []) + [f"Imprint of {host}"]
+        if rng.random() < 0.15 and texts:
+            lines = texts[rng.choice(list(texts))][2]
+        texts[k] = (host, path, lines)
+        rows.append((k, f"https://{host}{path}", "<body>" + "".join(f"<p>{x}</p>" for x in lines) + "</body>"))
+    expected, pairs = {}, 0
+    for host in {t[0] for t in texts.values()}:
+        order = sorted((path, k) for k, (h, path, _) in texts.items() if h == host)
+        for i, (path, k) in enumerate(order):
+            begins = lambda o: next((n for n, (x, y) in enumerate(zip(path, o[0])) if x != y), min(len(path), len(o[0])))
+            near = sorted(([order[i - 1]] if i else []) + ([order[i + 1]] if i + 1 < len(order) else []), key=lambda o: -begins(o))
+            mine, gone = texts[k][2], set()
+            for o in near:
+                shared = {x for x in mine if x in texts[o[1]][2]}  # lines are distinct and stand in one order
+                if 2 * sum(map(len, shared)) <= sum(map(len, mine)):
+                    gone, pairs = shared, pairs + 1
+                    break
+            expected[k] = "\n".join(x for x in mine if x not in gone)
+    assert pairs > 60
+    got = {r["page_id"]: r["text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == expected
+
+
+def test_html_text_heads_and_notices():
+    """Titles in the head of an article stay, notices go even as paragraphs, heads of pages go."""
+    page = '<body><div class="page-header">Site</div><article><div class="article-header"><h1 class="banner">Title</h1></div><p>Text</p><p class="cookie-notice">We use cookies<p>More</p><ul><li class="ad">Buy</li><li>Item</li></ul><div class="comments"><p>me too</p></div></article></body>'
+    assert [x for x, _ in html_text.lines(page)] == ["Title", "Text", "More", "Item"]
+
+
+def test_html_text_very_long_pages(spark):
+    """Memory of an alignment grows with the number of lines."""
+    import tracemalloc
+
+    a = [f"line {i}" for i in range(20_000)]
+    b = [x if i % 3 else f"other {i}" for i, x in enumerate(a)]
+    rng = random.Random(2)
+    c = a[:]
+    for _ in range(500):
+        i, j = rng.randrange(len(c)), rng.randrange(len(c))
+        c[i], c[j] = c[j], c[i]
+    tracemalloc.start()
+    assert len(html_text.common(a, b)) == sum(i % 3 > 0 for i in range(len(a)))
+    assert len(html_text.common(a, c)) >= len(a) - 1000
+    assert tracemalloc.get_traced_memory()[1] < 60 << 20
+    tracemalloc.stop()
+    page = lambda k: "<body>" + "".join(f"<p>{k} {x}</p>" for x in a) + "<p>All rights reserved</p></body>"
+    rows = [(k, f"http://h.org/{k}", page(k)) for k in range(3)]
+    for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect():
+        assert r["n_deleted"] == 1 and r["text"].count("\n") == 19_999
+
+
 def test_common_lines():
     rng = random.Random(0)
     for _ in range(200):
