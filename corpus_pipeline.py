@@ -16,7 +16,7 @@ SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that importance resampling rejects go."""
+    """Documents that importance resampling rejects go. Null and empty texts have weight 1; repeated rows stay or go together."""
     return importance.keep_sampled(docs, importance.good_documents(spark, sf_dir))
 
 

@@ -2,11 +2,13 @@
 
 Two bag models over hashed word n-grams, one of target text (documents labelled good), one of raw text (all
 documents), give each document an importance weight, the ratio of its likelihoods. Documents are then sampled without
-replacement by Gumbel top-k: the k greatest of log weight + Gumbel noise stay.
+replacement by Gumbel top-k: the k greatest of log weight + Gumbel noise stay. Unless given, k is the number of documents
+that weigh at least as much as nearly all target documents do when each is weighed by a target model without itself.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +23,9 @@ BUCKETS = 10_000
 #: Labelled documents that the target model is fitted on, at most; those with the least hashes of their ids.
 MAX_TARGET = 20_000
 SMOOTHING = 1.0
-#: Nats by which raw text may explain a document better before it counts as less than a whole document in the default k.
-MARGIN = 4.0
+#: Share of documents like the target that k may leave out, and the part of the target's weights that it is carried on from:
+#: below this quantile weights count as falling off exponentially.
+LOSS, TAIL = 0.001, 0.05
 _U = np.uint64
 
 
@@ -35,14 +38,18 @@ def features(data: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[np.nd
     return doc, (np.concatenate([mix(w.hash), pairs[inside]]) % _U(buckets)).astype(np.int64)
 
 
-def model_counts(docs: DataFrame, target: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams in each bucket, of all documents and of the target documents. target: bounded, (doc_id)."""
-    marked = docs.join(F.broadcast(target.select("doc_id", F.lit(1).alias("t"))), "doc_id", "left").select("text", F.coalesce("t", F.lit(0)).alias("t"))
+def marked(docs: DataFrame, target: DataFrame) -> DataFrame:
+    """docs with `t`: whether the document is in target (doc_id), which is bounded."""
+    return docs.join(F.broadcast(target.select("doc_id", F.lit(True).alias("t"))), "doc_id", "left").withColumn("t", F.coalesce("t", F.lit(False)))
+
+
+def model_counts(docs: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """n-grams in each bucket, of all documents and of the target documents. docs: marked (text, t)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, buckets), np.int64)
         for batch in batches:
-            flag = batch.column(1).to_numpy(zero_copy_only=False).astype(bool)
+            flag = batch.column(1).to_numpy(zero_copy_only=False)
             for row, stop, data, offsets in chunks(batch.column(0)):
                 doc, bucket = features(data, offsets, buckets)
                 counts[0] += np.bincount(bucket, minlength=buckets)
@@ -50,40 +57,56 @@ def model_counts(docs: DataFrame, target: DataFrame, buckets: int) -> tuple[np.n
         used = np.flatnonzero(counts[0])
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(counts[0][used]), pa.array(counts[1][used])], ["bucket", "raw", "target"])
 
-    sums = marked.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    sums = docs.select("text", "t").mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     out = np.zeros((2, buckets))
     for r in sums.collect():  # `buckets` rows
         out[:, r["bucket"]] = r["raw"], r["target"]
     return out[0], out[1]
 
 
-def log_ratio(raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING) -> np.ndarray:
-    """Log of the importance ratio of each bucket.
+class Models:
+    """Counts of raw and target text as two smoothed models.
 
-    The target model is mixed with the raw one in equal parts (defensive importance sampling), so a ratio is never below 1/2
-    and few target documents don't condemn the others. What the noise of small counts takes from the
-    logarithm on average is given back (delta method).
+    The raw model is smoothed evenly, by `smoothing` a bucket, the target model by as much in proportion to the raw one:
+    a bucket that target text hasn't shown yet counts as in raw text.
     """
-    n = len(raw)
-    p_raw = (raw + smoothing) / (raw.sum() + smoothing * n)
-    r = (target + smoothing * n * p_raw) / (target.sum() + smoothing * n) / p_raw
-    share = r / (1 + r)
-    return np.log((1 + r) / 2) + share * share / (2 * (target + smoothing))
+
+    def __init__(self, raw: np.ndarray, target: np.ndarray, smoothing: float = SMOOTHING):
+        n = len(raw)
+        self.target, self.total, self.added = target, target.sum(), smoothing * n
+        self.p_raw = (raw + smoothing) / (raw.sum() + self.added)
+        #: log of the importance ratio of each bucket, target model over raw model
+        self.log_ratio = np.log((target + self.added * self.p_raw) / (self.total + self.added) / self.p_raw) if self.total else np.zeros(n)
+
+    def log_weights(self, doc: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
+        """Sums of log ratios of n texts' n-grams."""
+        return np.bincount(doc, self.log_ratio[bucket], n)
+
+    def without_themselves(self, doc: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
+        """log_weights() of target documents, each by the target model without its own n-grams."""
+        pair, count = np.unique(doc * len(self.target) + bucket, return_counts=True)
+        owner, at = np.divmod(pair, len(self.target))
+        rest = self.total - np.bincount(doc, minlength=n)[owner]
+        return np.bincount(owner, count * np.log((self.target[at] - count + self.added * self.p_raw[at]) / (rest + self.added) / self.p_raw[at]), n)
 
 
-def log_weights(docs: DataFrame, ratio: np.ndarray) -> DataFrame:
-    """(doc_id, n_features, log_weight) of each whole text."""
-    table_of = docs.sparkSession.sparkContext.broadcast(ratio)
+def log_weights(docs: DataFrame, models: Models) -> DataFrame:
+    """(doc_id, n_features, log_weight, alone) of each whole text; alone: without_themselves() of target documents with n-grams, else null."""
+    known_models = docs.sparkSession.sparkContext.broadcast(models)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table_of.value
+        known = known_models.value
         for batch in batches:
+            flag = batch.column(2).to_numpy(zero_copy_only=False)
             for row, stop, data, offsets in chunks(batch.column(1)):
-                doc, bucket = features(data, offsets, len(known))
+                doc, bucket = features(data, offsets, len(known.target))
                 n = stop - row
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, known[bucket], n))], ["doc_id", "n_features", "log_weight"])
+                size = np.bincount(doc, minlength=n)
+                mine = flag[row:stop][doc]
+                alone = known.without_themselves(doc[mine], bucket[mine], n)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), pa.array(size), pa.array(known.log_weights(doc, bucket, n)), pa.array(alone, mask=~(flag[row:stop] & (size > 0)))], ["doc_id", "n_features", "log_weight", "alone"])
 
-    return docs.mapInArrow(run, "doc_id long, n_features long, log_weight double")
+    return docs.select("doc_id", "text", "t").mapInArrow(run, "doc_id long, n_features long, log_weight double, alone double")
 
 
 def gumbel(seed: int, *keys: str) -> Column:
@@ -92,32 +115,30 @@ def gumbel(seed: int, *keys: str) -> Column:
     return -F.log(-F.log(uniform))
 
 
-def kth_largest(scored: DataFrame, column: str, k: int, bins: int = 1024, rounds: int = 5) -> float:
-    """The k-th largest value, by histograms: each round counts `bins` bins of the interval that holds it."""
+def kth_largest(scored: DataFrame, column: str, k: int, bins: int = 1024) -> float:
+    """The k-th largest value, by histograms: each round counts `bins` bins of the interval that holds it, and is
+    followed by one of that bin's values alone, until so few neighbouring doubles are left that they can be counted singly."""
     lo, hi = scored.agg(F.min(column), F.max(column)).first()
     if lo is None:
         return float("inf")
     above = 0
-    for _ in range(rounds):
-        if not hi > lo:
-            break
+    while hi > lo:
         width = (hi - lo) / bins
-        if lo + width == lo:
-            break
         inside = scored.where((F.col(column) >= lo) & (F.col(column) <= hi))
+        if lo + width == lo or hi - width == hi:  # no more than 2 * bins doubles lie between them
+            rest = inside.groupBy(column).count().orderBy(F.desc(column)).collect()
+            for value, n in rest:
+                above += n
+                if above >= k:
+                    return value
+            return lo
         which = F.least(F.floor((F.col(column) - lo) / width), F.lit(bins - 1)).cast("int")
         counts = sorted(inside.groupBy(which.alias("b")).agg(F.count("*").alias("n"), F.min(column).alias("lo"), F.max(column).alias("hi")).collect(), reverse=True)
         for r in counts:
-            if above + r["n"] >= k:
+            if above + r["n"] >= k or r is counts[-1]:
                 lo, hi = r["lo"], r["hi"]
                 break
             above += r["n"]
-    if hi > lo:  # a few values are left
-        rest = scored.where((F.col(column) >= lo) & (F.col(column) <= hi)).groupBy(column).count().orderBy(F.desc(column)).limit(100_000).collect()
-        for value, n in rest:
-            above += n
-            if above >= k:
-                return value
     return lo
 
 
@@ -126,49 +147,56 @@ def _target_ids(target: DataFrame, seed: int, max_target: int) -> DataFrame:
     return ids.orderBy(F.xxhash64(F.lit(seed), "doc_id"), "doc_id").limit(max_target)
 
 
-def _scored(given: DataFrame, target: DataFrame, buckets: int, seed: int, max_target: int) -> tuple[DataFrame, np.ndarray]:
-    raw, good = model_counts(given, _target_ids(target, seed, max_target), buckets)
-    ratio = log_ratio(raw, good) if good.sum() else np.zeros(buckets)
-    return log_weights(given, ratio).withColumn("gumbel_score", F.col("log_weight") + gumbel(seed, "doc_id", "n_features")), ratio
+def _scored(given: DataFrame, target: DataFrame, buckets: int, seed: int, max_target: int) -> tuple[DataFrame, Models]:
+    docs = marked(given, _target_ids(target, seed, max_target))
+    models = Models(*model_counts(docs, buckets))
+    return log_weights(docs, models).withColumn("gumbel_score", F.col("log_weight") + gumbel(seed, "doc_id", "n_features")), models
 
 
-def _threshold(scored: DataFrame, k: int | None) -> float:
-    """The k-th largest score; infinite if nothing is to stay."""
+def _threshold(scored: DataFrame, k: int | None, loss: float) -> float:
+    """The k-th largest score; infinite if nothing is to stay. scored: a written table."""
     if k is None:
-        k = round(scored.agg(F.sum(F.exp(F.least(F.lit(0.0), F.col("log_weight") + MARGIN)))).first()[0] or 0)
+        targets = scored.where("alone is not null")
+        n = targets.count()
+        if not n:
+            return float("-inf")
+        least = kth_largest(targets, "alone", n - math.floor(TAIL * n))
+        below = targets.where(F.col("alone") < least).agg(F.avg(least - F.col("alone"))).first()[0] or 0.0
+        least -= below * math.log(max(1.0, TAIL / loss))
+        k = scored.where((F.col("log_weight") >= least) | (F.col("n_features") == 0)).count()
     return kth_largest(scored, "gumbel_score", k) if k > 0 else float("inf")
 
 
-def resample(docs: DataFrame, target: DataFrame, k: int | None = None, buckets: int = BUCKETS, seed: int = 6, id_col: str = "doc_id", text_col: str = "text", max_target: int = MAX_TARGET) -> DataFrame:
+def resample(docs: DataFrame, target: DataFrame, k: int | None = None, loss: float = LOSS, buckets: int = BUCKETS, seed: int = 6, id_col: str = "doc_id", text_col: str = "text", max_target: int = MAX_TARGET) -> DataFrame:
     """(doc_id, n_features, log_weight, gumbel_score, kept).
 
     target: (doc_id) of documents known to be good, at most `max_target` of which are used (those with the least
-    hashes); raw counts and weights cover all documents. k defaults to the sum of min(1, weight * e**MARGIN) over all documents, the
-    number that the target model explains about as well as the raw one. Documents that tie with the k-th stay as
-    well. Null and empty texts have weight 1 (log 0). Repeated rows get equal scores; null ids are scored, but
-    are never target documents. Without any target document all weights are 1.
+    hashes); raw counts and weights cover all documents. k defaults to the number of documents without words and
+    of those that weigh at least as much as a share of 1 - `loss` of the target documents should, each weighed without itself. Documents that tie
+    with the k-th stay as well. Null and empty texts have weight 1 (log 0). Repeated rows get equal scores; null ids are scored, but
+    are never target documents. Without any target document all weights are 1 and, unless k is given, all documents stay.
     """
     scored, _ = _scored(id_text(docs, id_col, text_col), target, buckets, seed, max_target)
     scored = written(scored, "scored")
-    return scored.withColumn("kept", F.col("gumbel_score") >= F.lit(_threshold(scored, k)))
+    return scored.withColumn("kept", F.col("gumbel_score") >= F.lit(_threshold(scored, k, loss)))
 
 
-def keep_sampled(docs: DataFrame, target: DataFrame, k: int | None = None, buckets: int = BUCKETS, seed: int = 6, id_col: str = "doc_id", text_col: str = "text", max_target: int = MAX_TARGET) -> DataFrame:
+def keep_sampled(docs: DataFrame, target: DataFrame, k: int | None = None, loss: float = LOSS, buckets: int = BUCKETS, seed: int = 6, id_col: str = "doc_id", text_col: str = "text", max_target: int = MAX_TARGET) -> DataFrame:
     """The rows of docs, all their columns, that resample() keeps: scored anew in place, so that no text is shuffled."""
-    scored, ratio = _scored(id_text(docs, id_col, text_col), target, buckets, seed, max_target)
+    scored, models = _scored(id_text(docs, id_col, text_col), target, buckets, seed, max_target)
     scored = written(scored, "scored")
-    least = _threshold(scored, k)
+    least = _threshold(scored, k, loss)
     discard(scored)
-    table_of = docs.sparkSession.sparkContext.broadcast(ratio)
+    known_models = docs.sparkSession.sparkContext.broadcast(models)
     packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = table_of.value
+        known = known_models.value
         for batch in batches:
             for row, stop, data, offsets in chunks(batch.column(2)):
-                doc, bucket = features(data, offsets, len(known))
+                doc, bucket = features(data, offsets, len(known.target))
                 n = stop - row
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(np.bincount(doc, minlength=n)), pa.array(np.bincount(doc, known[bucket], n))], ["row", "doc_id", "n_features", "log_weight"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(np.bincount(doc, minlength=n)), pa.array(known.log_weights(doc, bucket, n))], ["row", "doc_id", "n_features", "log_weight"])
 
     schema = T.StructType([packed.schema["row"], packed.schema["doc_id"], T.StructField("n_features", T.LongType()), T.StructField("log_weight", T.DoubleType())])
     found = packed.mapInArrow(run, schema).where(F.col("log_weight") + gumbel(seed, "doc_id", "n_features") >= F.lit(least))
@@ -180,4 +208,4 @@ def good_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample(table(spark, sf_dir, "documents"), good_documents(spark, sf_dir))
+    return resample(table(spark, sf_dir, "documents"), good_documents(spark, sf_dir)).drop("alone")

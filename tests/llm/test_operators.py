@@ -313,6 +313,64 @@ def test_importance(spark, docs, nothing):
     assert all(importance.kth_largest(scored, "v", k, bins=3) == values[k - 1] for k in (1, 30, 31, 250, 500))
 
 
+def test_importance_against_brute_force(spark):
+    """Counts, weights, weights of target documents without themselves, default k and the rows that stay, the slow way."""
+    rng = random.Random(8)
+    texts = {i: prose(rng, rng.randint(0, 60)) if i % 4 else " ".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 60))) for i in range(120)}
+    target, buckets = set(range(1, 90, 2)), 50
+    grams = {i: [("1", w) for w in t.split()] + [("2", *p) for p in zip(t.split(), t.split()[1:])] for i, t in texts.items()}
+    place = {}
+    for i, t in texts.items():
+        doc, bucket = importance.features(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), buckets)
+        assert len(doc) == len(grams[i])
+        place.update(zip(grams[i], bucket.tolist()))
+    raw, good = [0] * buckets, [0] * buckets
+    for i, found in grams.items():
+        for g in found:
+            raw[place[g]] += 1
+            good[place[g]] += i in target
+    p_raw = [(x + 1) / (sum(raw) + buckets) for x in raw]
+
+    def weight(i, own):
+        counts = good[:]
+        for g in grams[i] if own else []:
+            counts[place[g]] -= 1
+        return sum(math.log((counts[b] + buckets * p_raw[b]) / (sum(counts) + buckets) / p_raw[b]) for b in (place[g] for g in grams[i]))
+
+    got = {r["doc_id"]: r for r in importance.resample(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), spark.createDataFrame([(i,) for i in target], "doc_id long"), buckets=buckets, loss=0.02).collect()}
+    for i in texts:
+        assert got[i]["log_weight"] == pytest.approx(weight(i, False), abs=1e-9) and got[i]["n_features"] == len(grams[i])
+        if i in target and grams[i]:
+            assert got[i]["alone"] == pytest.approx(weight(i, True), abs=1e-9)
+        else:
+            assert got[i]["alone"] is None
+    alone = sorted(weight(i, True) for i in target if grams[i])
+    edge = alone[math.floor(0.05 * len(alone))]
+    under = [edge - x for x in alone if x < edge]
+    least = edge - sum(under) / len(under) * math.log(0.05 / 0.02)
+    k = sum(not grams[i] or weight(i, False) >= least for i in texts)
+    top = sorted(texts, key=lambda i: -got[i]["gumbel_score"])[:k]
+    assert {i for i in texts if got[i]["kept"]} == set(top)
+
+
+def test_kth_largest_is_exact(spark):
+    """More distinct neighbouring values than any round can tell apart at first."""
+    values = [1.0 + j * 2.0**-52 for j in range(3000)] + [5.0, -1e9]
+    scored = spark.createDataFrame([(v,) for v in values], "v double")
+    ordered = sorted(values, reverse=True)
+    for k in (1, 2, 700, 3000, 3002):
+        assert importance.kth_largest(scored, "v", k, bins=4) == ordered[k - 1]
+
+
+def test_importance_very_long(spark):
+    rng = random.Random(1)
+    long = prose(rng, 200_000)
+    rows = [(0, long), (1, long), (2, prose(rng, 5)), (3, "z " * 50_000), (3, "z " * 50_000)]
+    found = importance.resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(0,), (1,)], "doc_id long")).collect()
+    assert sorted(r["n_features"] for r in found) == [9, 99_999, 99_999, 399_999, 399_999]
+    assert len({r["gumbel_score"] for r in found if r["doc_id"] == 3}) == 1
+
+
 # --- 7 -----------------------------------------------------------------------------------------------------------------
 
 
