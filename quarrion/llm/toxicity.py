@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_LETTERS, chunks, discard, id_text, table, words_of, written
+from .common import LOWER, NON_LETTERS, chunks, id_text, table, words_of
 
 #: Labelled rows that the index is fitted on, at most (half of them of each label).
 MAX_EXAMPLES = 8192
@@ -205,25 +205,38 @@ class Index:
         return (positive + PRIOR_WEIGHT * self.prior) / (vote.sum(1) + PRIOR_WEIGHT), place, cosine
 
 
+def _counted(train: DataFrame) -> DataFrame:
+    """(doc_id, label, terms, counts) of (doc_id, text, label): distinct terms and their counts as bytes, without the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row, stop, data, offsets in chunks(batch.column(1)):
+                doc, term, count = term_rows(data, offsets)
+                first = np.searchsorted(doc, np.arange(stop - row + 1))
+                cut = lambda values: pa.array([values[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())  # noqa: B023, E731
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, stop - row), batch.column(2).slice(row, stop - row), cut(term), cut(count.astype(np.int64))], ["doc_id", "label", "terms", "counts"])
+
+    return train.select("doc_id", "text", "label").mapInArrow(run, "doc_id long, label int, terms binary, counts binary")
+
+
 def fit(docs: DataFrame, labelled: DataFrame, max_examples: int = MAX_EXAMPLES) -> Index:
-    """docs: (doc_id, text); labelled: (doc_id, label 0/1). At most max_examples labelled rows are used, those with
-    the least hashes of their ids; document counts cover all of docs. Rows with several labels count as 1 if any is."""
+    """docs: (doc_id, text) and columns that don't matter; labelled: (doc_id, label 0/1). At most max_examples labelled rows are used, those with
+    the least hashes of their ids; document counts cover all of docs. Rows with several labels count as 1 if any is.
+    Labels without a document and null labels are left out; without any label every score is 0."""
+    docs = id_text(docs)
     rows = labelled.where("doc_id is not null and label is not null").groupBy("doc_id").agg(F.max("label").cast("int").alias("label"))
     share = rows.agg(F.avg("label")).first()[0]
     prior = float(share or 0.0)
     half = max_examples // 2
     pick = lambda v: rows.where(F.col("label") == v).orderBy(F.xxhash64(F.lit(5), "doc_id"), "doc_id").limit(half)
     chosen = pick(0).unionByName(pick(1))
-    train = written(docs.join(F.broadcast(chosen), "doc_id"), "train")  # at most max_examples ids
-    held = sorted(train.select("doc_id", "text", "label").toLocalIterator(), key=lambda r: (r["doc_id"], r["text"]))
-    discard(train)
+    # at most max_examples ids; of rows with the same id the least text
+    train = docs.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("label").alias("label"))
+    held = sorted(_counted(train).toLocalIterator(), key=lambda r: r["doc_id"])
     ids, labels = np.array([r["doc_id"] for r in held], np.int64), np.array([r["label"] for r in held], np.int64)
-    found = []
-    for at in range(0, len(held), 256):
-        raw = [r["text"].encode() for r in held[at : at + 256]]
-        doc, term, count = term_rows(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
-        found.append((doc + at, term, count))
-    row, term, count = (np.concatenate(x) if found else np.empty(0, kind) for x, kind in zip(zip(*found) if found else [()] * 3, (np.int64, np.uint64, np.int64), strict=True))
+    flat = lambda name, kind: np.concatenate([np.frombuffer(r[name], kind) for r in held]) if held else np.empty(0, kind)
+    term, count = flat("terms", np.uint64), flat("counts", np.int64)
+    row = np.repeat(np.arange(len(held)), [len(r["terms"]) // 8 for r in held])
     terms, column = np.unique(term, return_inverse=True)
     n, counts = _document_counts(docs, terms)
     shown = np.bincount(labels, minlength=2).astype(np.float64)
@@ -273,4 +286,4 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = id_text(table(spark, sf_dir, "documents"))
     labelled = table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id"))).select("doc_id", F.col("toxic").alias("label"))
     scored = score(docs, fit(docs, labelled))
-    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"), "neighbours", "evidence")

@@ -5,6 +5,7 @@ import html
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -289,6 +290,53 @@ def test_toxicity_rare_terms(spark):
     assert found[1]["score"] > index.prior > found[2]["score"]
 
 
+def test_toxicity_against_brute_force(spark):
+    """Document counts, term weights, cosines, votes and scores from dictionaries of words; other columns may clash."""
+    rng = random.Random(21)
+    rows = [(i, t, y) for i, t, y in toxic_rows()] + [(2000 + i, prose(rng, rng.randint(0, 30)), int(rng.random() < 0.2)) for i in range(80)]
+    docs = spark.createDataFrame([(i, t, "clash", 1) for i, t, _ in rows], "doc_id long, text string, label string, score int")
+    index = toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in rows if i % 3], "doc_id long, label int"))
+    got = {r["doc_id"]: r for r in toxicity.score(docs, index, neighbours=9).collect()}
+    counts = lambda t: Counter(re.findall("[A-Za-z\u0080-\U0010ffff]+", t.lower()))
+    bags = {i: counts(t) for i, t, _ in rows}
+    train = {i: y for i, _, y in rows if i % 3}
+    n, pos = len(train), sum(train.values())
+    weights = {}
+    for w in {w for i in train for w in bags[i]}:
+        d, a = sum(w in bags[i] for i in train), sum(w in bags[i] for i in train if train[i])
+        parts = [(a, d * pos / n), (d - a, d * (n - pos) / n), (pos - a, (n - d) * pos / n), (n - pos - d + a, (n - d) * (n - pos) / n)]
+        differs = 2 * sum(x * math.log(x / e) for x, e in parts if x > 0)
+        weights[w] = (math.log((1 + len(rows)) / (1 + sum(w in b for b in bags.values()))) + 1) * (toxicity.SELECTIVE_WEIGHT if d >= 5 and differs > 10.8 else 1)
+
+    def vector(bag):
+        v = {w: (1 + math.log(c)) * weights[w] for w, c in bag.items() if w in weights}
+        norm = math.sqrt(sum(x * x for x in v.values()))
+        return {w: x / norm for w, x in v.items()}
+
+    vectors, prior = {i: vector(b) for i, b in bags.items()}, pos / n
+    vote = {0: (1 - prior) / (n - pos), 1: prior / pos}
+    vote = {y: v / max(vote.values()) for y, v in vote.items()}
+    assert any(x > toxicity.FREQUENT for x in (sum(w in bags[i] for i in train) / n for w in weights))
+    for i, v in vectors.items():
+        near = sorted(((sum(x * vectors[j].get(w, 0) for w, x in v.items()), j) for j in train), reverse=True)
+        near = [(c, j) for c, j in near if c > 0]
+        if len(near) > 9 and near[8][0] - near[9][0] < 1e-5:
+            continue  # a tie at the end of the list
+        near = near[:9]
+        total = sum(c * vote[train[j]] for c, j in near)
+        assert got[i]["score"] == pytest.approx((sum(c * vote[1] for c, j in near if train[j]) + toxicity.PRIOR_WEIGHT * prior) / (total + toxicity.PRIOR_WEIGHT), abs=1e-4)
+        assert got[i]["neighbours"] == len(near)
+
+
+def test_toxicity_repeated_ids(spark):
+    """Rows that repeat an id are one example, and each row is scored."""
+    docs = spark.createDataFrame([(1, "foul words"), (1, "foul words"), (1, "a other text"), (2, "kind words"), (2, "kind words")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 1), (None, 1), (2, None)], "doc_id long, label int")
+    index = toxicity.fit(docs, labels)
+    assert sorted(zip(index.ids.tolist(), index.labels.tolist())) == [(1, 1), (2, 0)]
+    assert toxicity.score(docs, index).count() == 5
+
+
 # --- 6 -----------------------------------------------------------------------------------------------------------------
 
 
