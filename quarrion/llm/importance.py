@@ -80,14 +80,14 @@ class Models:
 
     def log_weights(self, doc: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
         """Sums of log ratios of n texts' n-grams."""
-        return np.bincount(doc, self.log_ratio[bucket], n)
+        return np.bincount(doc, self.log_ratio[bucket], n).astype(np.float64)  # of nothing it gives whole numbers
 
     def without_themselves(self, doc: np.ndarray, bucket: np.ndarray, n: int) -> np.ndarray:
         """log_weights() of target documents, each by the target model without its own n-grams."""
         pair, count = np.unique(doc * len(self.target) + bucket, return_counts=True)
         owner, at = np.divmod(pair, len(self.target))
         rest = self.total - np.bincount(doc, minlength=n)[owner]
-        return np.bincount(owner, count * np.log((self.target[at] - count + self.added * self.p_raw[at]) / (rest + self.added) / self.p_raw[at]), n)
+        return np.bincount(owner, count * np.log((self.target[at] - count + self.added * self.p_raw[at]) / (rest + self.added) / self.p_raw[at]), n).astype(np.float64)
 
 
 def log_weights(docs: DataFrame, models: Models) -> DataFrame:

@@ -410,6 +410,18 @@ def test_kth_largest_is_exact(spark):
         assert importance.kth_largest(scored, "v", k, bins=4) == ordered[k - 1]
 
 
+def test_importance_batches_without_words(spark):
+    """Batches of empty texts only, and of documents none of which is a target, have the columns of all others."""
+    rows = [(i, "") for i in range(40)] + [(100 + i, "good words here") for i in range(10)] + [(i, None) for i in range(200, 240)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+        target = spark.createDataFrame([(100,), (7,)], "doc_id long")
+        assert importance.resample(docs, target).where("kept").count() == len(rows) == importance.keep_sampled(docs, target).count()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_importance_very_long(spark):
     rng = random.Random(1)
     long = prose(rng, 200_000)
