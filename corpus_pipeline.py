@@ -1,6 +1,7 @@
 """Corpus pipeline: five stages one after another, each written as Parquet and read again by the next.
 
-Stages filter, rewrite or repeat whole documents; all but the last return the columns of `documents`.
+Stages filter, rewrite or repeat whole documents; all but the last return the columns of `documents`, and further
+columns as they came. An empty table stays empty.
 """
 
 from __future__ import annotations
@@ -21,26 +22,30 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates stays."""
+    """The document with the smallest id of each group of near duplicates stays.
+
+    Rows with the same id are one document and stay or go together; rows without an id link with nothing and stay, as do
+    texts without words."""
     found = jaccard_join.joined(docs, SHINGLE_WORDS, SHINGLE_PERCENT)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data gives way to its kind in brackets."""
+    """Personal data gives way to its kind in brackets. Null texts stay null, with n_chars 0; every row stays."""
     found = pii.redact(pii.find(docs))
     own = {"text": F.when(F.col("row.text").isNull(), F.col("row.text")).otherwise(F.col("redacted")), "n_chars": F.length("redacted").cast("long")}
     return found.select(*[own.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come as often as the temperature mixture of sources has them, each at least once."""
+    """Documents come as often as the temperature mixture of sources has them, each at least once. A null source is a source;
+    rows that repeat come equally often."""
     return mixing.realised(mixing.mixed(docs))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token counts and digests of ids and decoded texts."""
+    """Token counts and digests of ids and decoded texts, one row for each row; null texts count as empty."""
     return sentencepiece_codec.encode_digests(docs)
 
 

@@ -127,7 +127,7 @@ def _small(plan: DataFrame) -> DataFrame:
 
 
 def realised(mix: DataFrame) -> DataFrame:
-    """The rows of mixed(), in their own columns, each as often as its copies say."""
+    """The rows of mixed(), in their own columns, each as often as its copies say; null texts and sources and repeated rows pass like others."""
     return mix.where("copies > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select("row.*")
 
 

@@ -22,11 +22,12 @@ KINDS = {
     "card": r"[0-9]([\x20-]?[0-9])+",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: The same matches found without trying a run of characters from each of its places, so that long runs cost linear time.
+#: The same matches found without trying a run of characters from each of its places, so that long runs cost linear time;
+#: for cards only the runs with digits enough.
 _FAST = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
-    "card": r"[0-9](?:[\x20-]?[0-9])++",
+    "card": r"[0-9](?:[\x20-]?[0-9]){13,}+",
     "phone": KINDS["phone"],
 }
 #: What a text must contain for a kind to be looked for.
@@ -43,24 +44,71 @@ MIN_SEEDS = 5
 MIN_CONFIDENCE = 0.8
 
 
-def _spans(text: Column, expression: str) -> Column:
-    """array<struct<start, end, value>> of the matches, leftmost and not overlapping; code points, end exclusive."""
-    return _placed(F.split(text, expression, -1), F.regexp_extract_all(text, F.lit(expression), F.lit(0)))
+#: Matches whose places are summed up together.
+_RUN = 256
 
 
-def _placed(gaps: Column, hits: Column) -> Column:
-    """Spans of hits between gaps. Both should be columns of a table where there may be many: they are read once a hit."""
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
+def _with_spans(df: DataFrame, looked: dict[str, tuple[str, str, Column]], keep: list[str]) -> DataFrame:
+    """df's columns `keep`, and for each name in looked an array<struct<start, end, value>> of matches.
 
-    def step(acc: Column, i: Column) -> Column:
-        value = F.get(hits, i)
-        begin = acc["at"] + F.length(F.get(gaps, i))
-        end = begin + F.length(value)
-        return F.struct(end.alias("at"), F.array_append(acc["found"], F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end"), value.alias("value"))).alias("found"))
+    looked: name -> (text column, expression, whether to look at all). Matches are leftmost and don't overlap; code points,
+    end exclusive. `<name>_gaps` holds what lies between the matches. Places are sums of lengths, taken in
+    runs of _RUN matches, so that texts with many matches cost little more than linear time. Each step reads the columns of
+    the one before several times, so that Spark computes them once a row.
+    """
+    none = F.array().cast("array<string>")
+    names = [f"{n}_gaps" for n in looked]
+    hits = [f"{n}_hits" for n in looked]
+    starts = [f"{n}_starts" for n in looked]
+    first = [c for n, (t, e, when) in looked.items() for c in (F.when(when, F.split(t, e, -1)).otherwise(none).alias(f"{n}_gaps"), F.when(when, F.regexp_extract_all(t, F.lit(e), F.lit(0))).otherwise(none).alias(f"{n}_hits"))]
+    df = df.select(*keep, *first)
+
+    def size(n: str, at: Column) -> Column:
+        return F.length(F.get(f"{n}_gaps", at)) + F.length(F.get(f"{n}_hits", at))
+
+    def run(n: str, r: Column) -> Column:
+        return F.sequence(r * _RUN, F.least((r + 1) * _RUN, F.size(f"{n}_hits")) - 1)
+
+    def runs(n: str) -> Column:
+        return F.sequence(F.lit(0), F.floor((F.size(f"{n}_hits") - 1) / _RUN).cast("int"))
+
+    def begun(n: str) -> Column:
+        """Where each run of matches begins."""
+        nil = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("all"))
+        step = lambda acc, r: F.struct(F.aggregate(run(n, r), acc["at"], lambda a, i: a + size(n, i)).alias("at"), F.array_append(acc["all"], acc["at"]).alias("all"))
+        return F.when(F.size(f"{n}_hits") > 0, F.aggregate(runs(n), nil, step)["all"])
+
+    df = df.select(*keep, *names, *hits, *[begun(n).alias(f"{n}_starts") for n in looked])
+
+    def placed(n: str) -> Column:
+        nil = F.array().cast("array<struct<start:int,end:int,value:string>>")
+
+        def step(acc: Column, i: Column) -> Column:
+            value = F.get(f"{n}_hits", i)
+            begin = acc["at"] + F.length(F.get(f"{n}_gaps", i))
+            end = begin + F.length(value)
+            return F.struct(end.alias("at"), F.array_append(acc["found"], F.struct(begin.cast("int").alias("start"), end.cast("int").alias("end"), value.alias("value"))).alias("found"))
 
-    n = F.size(hits)
-    return F.when(n > 0, F.aggregate(F.sequence(F.lit(0), n - 1), start, step)["found"]).otherwise(empty)
+        of = lambda r: F.aggregate(run(n, r), F.struct(F.get(f"{n}_starts", r).alias("at"), nil.alias("found")), step)["found"]
+        return F.when(F.size(f"{n}_hits") > 0, F.flatten(F.transform(runs(n), of))).otherwise(nil)
+
+    return df.select(*keep, *names, *hits, *starts, *[placed(n).alias(n) for n in looked]).drop(*starts)
+
+
+#: Characters of a piece of text.
+_PIECE = 1024
+
+
+def _pieces(text: Column) -> Column:
+    """A text in pieces, to be a column of its own: cut() then needn't walk through the whole text for each place in it."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+
+def _cut(pieces: str, start: Column, end: Column) -> Column:
+    """Characters start to end (exclusive) of a text in pieces."""
+    first = F.floor(start / _PIECE).cast("int")
+    some = F.slice(pieces, first + 1, F.floor((end - 1) / _PIECE).cast("int") - first + 1)
+    return F.when(end > start, F.array_join(some, "").substr(start - first * _PIECE + 1, end - start)).otherwise(F.lit(""))
 
 
 def _luhn(digits: Column) -> Column:
@@ -90,23 +138,18 @@ _VALID = {
 _ARRAY = "array<struct<start:int,rank:int,end:int,value:string>>"
 
 
-def base_spans(text: Column) -> Column:
-    """All base spans of a text by start, then kind: array<struct<start, rank, end, value>>, rank being the kind's place."""
-    empty = F.array().cast(_ARRAY)
+def with_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(row, doc_id, text, base): row holds all columns of docs as they came; base all base spans of a text by start, then
+    kind: array<struct<start, rank, end, value>>, rank being the kind's place."""
+    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    looked = {k: ("text", _FAST[k], F.contains("text", F.lit(_HINT[k])) if _HINT[k] else F.col("text").rlike("[0-9]")) for k in KINDS}
+    found = _with_spans(packed, looked, ["row", "doc_id", "text"])
 
     def of(rank: int, kind: str) -> Column:
-        found = F.filter(_spans(text, _FAST[kind]), lambda x: _VALID[kind](x["value"]))
-        marked = F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), x["value"].alias("value")))
-        return F.when(F.contains(text, F.lit(_HINT[kind])), marked.cast(_ARRAY)).otherwise(empty) if _HINT[kind] else marked.cast(_ARRAY)
+        valid = F.filter(kind, lambda x: _VALID[kind](x["value"]))
+        return F.transform(valid, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end"), x["value"].alias("value"))).cast(_ARRAY)
 
-    found = F.concat(*[of(i, k) for i, k in enumerate(KINDS)])
-    return F.when(text.rlike("[0-9@]"), F.sort_array(found)).otherwise(empty)
-
-
-def with_base(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(row, doc_id, text, base): row holds all columns of docs as they came; for base see base_spans()."""
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    return packed.withColumn("base", base_spans(F.col("text")))
+    return found.select("row", "doc_id", "text", F.sort_array(F.concat(*[of(i, k) for i, k in enumerate(KINDS)])).alias("base"))
 
 
 def _words(side: Column) -> Column:
@@ -114,10 +157,9 @@ def _words(side: Column) -> Column:
     return F.filter(F.transform(F.split(F.lower(side), r"[ \x09-\x0D]+"), lambda w: F.regexp_replace(F.regexp_replace(w, "[0-9]+", "0"), r"[.,;!?]+$", "")), lambda w: w != "")
 
 
-def _patterns(text: Column, start: Column, end: Column) -> Column:
-    """Lexical patterns around a span: one and two words in front, and one word on each side."""
-    before = _words(F.substring(text, F.greatest(start - REACH, F.lit(0)) + 1, F.least(start, F.lit(REACH))))
-    after = _words(F.substring(text, end + 1, F.lit(REACH)))
+def _patterns(before: Column, after: Column) -> Column:
+    """Lexical patterns between two contexts: one and two words in front, and one word on each side."""
+    before, after = _words(before), _words(after)
     last = F.get(before, F.size(before) - 1)
     prior = F.get(before, F.size(before) - 2)
     nxt = F.get(after, F.lit(0))
@@ -135,40 +177,48 @@ _AT_HINT = r"(?i)[\x20(\[](?:at|@)[\x20)\]]"
 _ANY = r"(?i)[0-9@]|[\x20(\[]at[\x20)\]]"
 
 
-def _masked(text: Column, base: Column) -> Column:
-    """The text with a control character for each character of its base spans."""
-    cover = lambda t, x: F.overlay(t, F.repeat(F.lit("\x01"), x["end"] - x["start"]), x["start"] + 1, x["end"] - x["start"])
-    return F.when(F.size(base) == 0, text).otherwise(F.aggregate(base, text, cover))
+def _replaced(pieces: str, spans: str, by, length: Column) -> Column:
+    """The text of `length` characters with by(x, uncovered start) for each span x, overlapping spans one after another."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
 
+    def step(acc: Column, x: Column) -> Column:
+        end = F.greatest(acc["at"], x["end"])
+        return F.struct(end.alias("at"), F.array_append(acc["parts"], F.concat(_cut(pieces, acc["at"], x["start"]), by(x, acc["at"]))).alias("parts"))
 
-def _candidates(rich: DataFrame) -> DataFrame:
-    """(doc_id, th, text, x): spans for discovery beside the base spans: digit groups, names at hosts, and words in no digit group.
+    return F.aggregate(spans, start, step, lambda acc: F.concat(F.array_join(acc["parts"], ""), _cut(pieces, acc["at"], length)))
 
-    Each step's columns are read several times in the next, so that Spark computes them once a row.
-    """
-    none = F.array().cast("array<string>")
-    rest = rich.select("doc_id", "th", "text", "base", _masked(F.col("text"), F.col("base")).alias("rest"))
-    looked = {"groups": ("rest", _GROUPS, "[0-9]"), "at": ("rest", _AT, _AT_HINT), "free": ("text", _CANDIDATE, "[0-9@]")}
-    both = [c for k, (t, e, hint) in looked.items() for c in (F.when(F.col("text").rlike(hint), F.split(t, e, -1)).otherwise(none).alias(f"{k}_gaps"), F.when(F.col("text").rlike(hint), F.regexp_extract_all(t, F.lit(e), F.lit(0))).otherwise(none).alias(f"{k}_hits"))]
-    found = rest.select("doc_id", "th", "text", "base", *both)
-    found = found.select("doc_id", "th", "text", "base", *[_placed(F.col(f"{k}_gaps"), F.col(f"{k}_hits")).alias(k) for k in looked])
-    bare = lambda x: F.length(F.rtrim(x["value"], F.lit(".,;:!?)]")))
-    held = lambda x: F.exists("groups", lambda g: (g["start"] <= x["start"]) & (x["start"] + bare(x) <= g["end"]))
-    alone = F.filter("free", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])) & ~held(x))
-    return found.select("doc_id", "th", "text", F.explode(F.concat("groups", "at", alone)).alias("x"))
+
+def _candidates(rich: DataFrame) -> DataFrame:
+    """(doc_id, th, pieces, found): spans for discovery beside the base spans: digit groups, names at hosts, and words that touch neither
+    a base span nor a digit group. rich: (doc_id, th, text, pieces, base)."""
+    keep = ["doc_id", "th", "pieces", "base"]
+    cover = lambda x, at: F.repeat(F.lit("\x01"), F.greatest(F.lit(0), x["end"] - F.greatest(at, x["start"])))
+    rest = rich.select(*keep, F.when(F.size("base") == 0, F.col("text")).otherwise(_replaced("pieces", "base", cover, F.length("text"))).alias("rest"))
+    found = _with_spans(rest, {"groups": ("rest", _GROUPS, F.col("rest").rlike("[0-9]")), "at": ("rest", _AT, F.col("rest").rlike(_AT_HINT))}, [*keep, "rest"])
+    covered = F.transform("groups_gaps", lambda gap, i: F.concat(gap, F.coalesce(F.repeat(F.lit("\x02"), F.length(F.get("groups_hits", i))), F.lit(""))))
+    found = found.select(*keep, "groups", "at", F.when(F.size("groups") > 0, F.array_join(covered, "")).otherwise(F.col("rest")).alias("rest"))
+    found = _with_spans(found, {"free": ("rest", _CANDIDATE, F.col("rest").rlike("[0-9@]"))}, [*keep, "groups", "at"])
+    alone = F.filter("free", lambda x: ~x["value"].rlike("[\x01\x02]"))
+    return found.select(*keep, F.concat("groups", "at", alone).alias("found"))
 
 
 def occurrences(base: DataFrame) -> DataFrame:
     """(doc_id, th, kind, start, end, value, patterns): seeds with their kind, candidates with kind null."""
-    rich = base.where(F.col("text").rlike(_ANY)).withColumn("th", F.xxhash64("text"))
-    seeds = rich.select("doc_id", "th", "text", F.explode("base").alias("x"))
+    rich = base.where(F.col("text").rlike(_ANY)).select("doc_id", "text", "base", F.xxhash64("text").alias("th"), _pieces(F.col("text")).alias("pieces"))
     names = F.array(*[F.lit(k) for k in KINDS])
-    seeds = seeds.select("doc_id", "th", F.get(names, F.col("x.rank")).alias("kind"), F.col("x.start").alias("start"), F.col("x.end").alias("end"), F.lower("x.value").alias("value"), "text")
-    loose = _candidates(rich)
-    stripped = F.rtrim(F.col("x.value"), F.lit(".,;:!?)]"))
-    loose = loose.select("doc_id", "th", F.lit(None).cast("string").alias("kind"), F.col("x.start").alias("start"), (F.col("x.start") + F.length(stripped)).cast("int").alias("end"), F.lower(stripped).alias("value"), "text").where("end > start")
-    both = seeds.unionByName(loose)
-    return both.withColumn("patterns", _patterns(F.col("text"), F.col("start"), F.col("end"))).drop("text")
+    seed = F.transform("base", lambda x: F.struct(F.get(names, x["rank"]).alias("kind"), x["start"].alias("start"), x["end"].alias("end"), x["value"].alias("value")))
+
+    def stripped(x: Column) -> Column:
+        value = F.rtrim(x["value"], F.lit(".,;:!?)]"))
+        return F.struct(F.lit(None).cast("string").alias("kind"), x["start"].alias("start"), (x["start"] + F.length(value)).cast("int").alias("end"), value.alias("value"))
+
+    loose = F.filter(F.transform("found", stripped), lambda x: x["end"] > x["start"])
+    every = _candidates(rich).select("doc_id", "th", "pieces", F.concat(seed, loose).alias("every"))
+    before = lambda x: _cut("pieces", F.greatest(x["start"] - REACH, F.lit(0)), x["start"])
+    # both contexts are cut before the rows part, so that no row carries a text
+    around = F.transform("every", lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end"), F.lower(x["value"]).alias("value"), before(x).alias("before"), _cut("pieces", x["end"], x["end"] + REACH).alias("after")))
+    both = every.select("doc_id", "th", F.explode(around).alias("x")).select("doc_id", "th", "x.*")
+    return both.withColumn("patterns", _patterns(F.col("before"), F.col("after"))).drop("before", "after")
 
 
 def score_graph(edges: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS) -> tuple[DataFrame, DataFrame]:
@@ -238,16 +288,13 @@ def span_text(spans: Column) -> Column:
 
 
 def redact(found: DataFrame) -> DataFrame:
-    """found with `redacted`: every span's text replaced by its kind in brackets, overlapping spans together by the first one's."""
-    names = F.array(*[F.lit(k.upper()) for k in KINDS])
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
-
-    def step(acc: Column, x: Column) -> Column:
-        piece = F.concat(F.substring(F.col("text"), acc["at"] + 1, x["start"] - acc["at"]), F.lit("["), F.get(names, x["rank"]), F.lit("]"))
-        return F.when(x["start"] < acc["at"], F.struct(F.greatest(acc["at"], x["end"]).alias("at"), acc["parts"].alias("parts"))).otherwise(F.struct(x["end"].alias("at"), F.array_append(acc["parts"], piece).alias("parts")))
+    """found with `redacted`: every span's text replaced by its kind in brackets, overlapping spans together by the first one's.
 
-    done = F.aggregate("spans", start, step)
-    return found.withColumn("done", done).withColumn("redacted", F.when(F.size("spans") == 0, F.col("text")).otherwise(F.concat(F.array_join("done.parts", ""), F.expr("substring(text, done.at + 1)")))).drop("done")
+    Texts are those of find(), null ones empty. Each row stands for itself, so rows that repeat get equal texts."""
+    names = F.array(*[F.lit(k.upper()) for k in KINDS])
+    kind = lambda x, at: F.when(x["start"] < at, F.lit("")).otherwise(F.concat(F.lit("["), F.get(names, x["rank"]), F.lit("]")))
+    cut = found.withColumn("pieces", F.when(F.size("spans") > 0, _pieces(F.col("text"))))
+    return cut.withColumn("redacted", F.when(F.size("spans") == 0, F.col("text")).otherwise(_replaced("pieces", "spans", kind, F.length("text")))).drop("pieces")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

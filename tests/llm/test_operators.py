@@ -136,6 +136,76 @@ def test_pii_repeated_and_none(spark, nothing):
     assert sorted(len(r["spans"]) for r in pii.find(two).collect()) == [0, 1, 1, 1]
 
 
+def test_pii_graph_scores_against_brute_force(spark):
+    """Rounds of the graph of patterns and values, with dictionaries."""
+    rng = random.Random(4)
+    kinds = list(pii.KINDS)
+    values = {f"v{i}": rng.choice([None, None, *kinds]) for i in range(120)}
+    edges = {(f"p{rng.randrange(12)}", v) for v in values for _ in range(3)} | {("p0", f"v{i}") for i in range(60)}
+    for rounds in (1, 2, 4):
+        linked = {p: [v for q, v in edges if q == p] for p, _ in edges}
+        seeds = {(p, k): n for p, vs in linked.items() for k in kinds if (n := sum(values[v] == k for v in vs)) >= 3}
+        confidence, belief = {}, {}
+        for _ in range(rounds):
+            confidence = {(p, k): (n + sum(belief.get((v, k), 0) for v in linked[p] if values[v] is None)) / (len(linked[p]) + 1) for (p, k), n in seeds.items()}
+            belief = {(v, k): 1 - math.prod(1 - min(confidence[p, k], 0.999999) for p in linked if (p, k) in seeds and v in linked[p]) for v in values for k in kinds if values[v] is None and any((p, k) in seeds and v in linked[p] for p in linked)}
+        frame_of = spark.createDataFrame([(p, v, values[v]) for p, v in edges], "pattern string, value string, seed string")
+        patterns, found = pii.score_graph(frame_of, rounds, 3)
+        assert {(r["pattern"], r["kind"]): r["confidence"] for r in patterns.collect()} == pytest.approx(confidence)
+        assert {(r["value"], r["kind"]): r["belief"] for r in found.collect()} == pytest.approx(belief)
+
+
+def test_pii_discovery_against_brute_force(spark):
+    """Which candidate occurrences become spans: those beside a confident pattern, of a believed value that has the kind's shape."""
+    rng = random.Random(12)
+    texts = []
+    for i in range(60):
+        context = rng.choice(["ring me on", "phone number", "see room", "the year"])
+        value = {"ring me on": f"+1 55 5{rng.randrange(100):02} {1000 + i}", "phone number": rng.choice([f"+49 30 {100000 + i}", f"55{rng.randrange(10)} {1000 + i} 77"]), "see room": str(rng.randrange(300)), "the year": "19 44 12 10"}[context]
+        texts.append(f"{prose(rng, 4)} {context} {value} {prose(rng, 4)}")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    occ = [r.asDict() for r in pii.occurrences(pii.with_base(docs)).collect()]
+    graph = {(p, o["value"], o["kind"]) for o in occ for p in o["patterns"]}
+    patterns, values = pii.score_graph(spark.createDataFrame(list(graph), "pattern string, value string, seed string"))
+    confident = {(r["pattern"], r["kind"]) for r in patterns.collect() if r["confidence"] >= 0.7}
+    believed = {(r["value"], r["kind"]) for r in values.collect() if r["belief"] >= 0.7}
+    want = {(o["doc_id"], o["start"], o["end"], k) for o in occ if o["kind"] is None for p in o["patterns"] for k in pii.KINDS if (p, k) in confident and (o["value"], k) in believed and re.search(pii._SHAPE[k], o["value"])}
+    got = {(r["doc_id"], x["start"], x["end"], list(pii.KINDS)[x["rank"]]) for r in pii.find(docs, min_confidence=0.7).collect() for x in r["spans"] if x not in r["base"]}
+    assert want and {k for *_, k in want} == {"phone"} and got <= want
+    # what is missing lies inside a longer span
+    assert all(any(d == g[0] and g[1] <= a and b <= g[2] and k == g[3] for g in got) for d, a, b, k in want)
+
+
+def test_clashing_columns_and_repeats(spark, docs, rows):
+    """Columns with the names that operators use inside, rows that come twice: as without them."""
+    plain = docs.select("doc_id", "text")
+    names = ("row", "base", "spans", "extra", "words", "lines", "n_words", "kept", "ids", "decoded", "score", "t", "label", "n", "_d", "_t", "source", "block", "copies")
+    wide = plain
+    for c in names:
+        wide = wide.withColumn(c, F.lit(f"clash {c}"))
+    twice = wide.union(wide)
+    for of in (
+        lambda d: pii.find(d).select("doc_id", F.to_json("spans").alias("x")),
+        lambda d: quality_rules.judge(d),
+        lambda d: sentencepiece_codec.encode_digests(d),
+        lambda d: importance.log_weights(importance.marked(importance.id_text(d), spark.createDataFrame([(0,)], "doc_id long")), importance.Models(np.full(50, 1e9), np.full(50, 1e8))),
+        lambda d: mixing.mixed(d.withColumn("source", F.lit("s")), budget=10**6).select("row.doc_id", "n_tokens", "block"),
+        lambda d: order_minhash.fingerprints(d),
+    ):
+        want = sorted(map(tuple, of(plain).collect()), key=str)
+        assert sorted(map(tuple, of(wide).collect()), key=str) == want
+        assert sorted(map(tuple, of(twice).collect()), key=str) == sorted(want + want, key=str)
+
+
+def test_mixing_very_long(spark):
+    """One document with most of its source's words, another source of short ones: whole documents, none lost."""
+    rows = [(0, "w " * 300_000, "a"), (1, "w", "a"), (2, "x y", "b"), (3, None, "b"), (4, "x" * 500_000, "b")]
+    mix = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), repetition_limit=2.0)
+    found = {r["row"]["doc_id"]: r for r in mix.collect()}
+    assert {i: r["n_tokens"] for i, r in found.items()} == {0: 300_000, 1: 1, 2: 2, 3: 0, 4: 1}
+    assert found[0]["copies"] == found[1]["copies"] == 1 and {found[i]["copies"] for i in (2, 3, 4)} <= {1, 2}
+
+
 # --- 2 -----------------------------------------------------------------------------------------------------------------
 
 

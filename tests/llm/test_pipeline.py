@@ -52,3 +52,27 @@ def test_stages(spark, folder):
     assert seen["sentencepiece"].count() == len(mixed)
     out = corpus_pipeline.run(spark, folder)
     assert sorted(map(tuple, out.collect()), key=str) == sorted(rows("sentencepiece"), key=str)
+
+
+def test_odd_tables(spark, folder, tmp_path):
+    """Extra columns pass through every stage but the last; repeated ids stay or go together, null ids stay; empty tables stay empty."""
+    import corpus_pipeline
+    from quarrion.llm.common import written
+
+    rng = random.Random(3)
+    text = prose(rng, 60)
+    rows = [(1, text), (2, text), (2, text), (None, text), (None, text), (3, prose(rng, 60)), (3, prose(rng, 60)), (4, None)]
+    names = ("row", "n_tokens", "copies", "kept", "component_id", "redacted", "spans", "t")
+    docs = spark.createDataFrame([(i, t, "en", "s0", 1, *names) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in names))
+    for name, stage in corpus_pipeline.STAGES[1:]:  # the first one samples
+        columns = docs.columns
+        docs = written(stage(spark, docs, folder), name)
+        assert name == "sentencepiece" or docs.columns == columns
+        if name in ("ngram_jaccard_join", "pii", "mixing"):
+            assert sorted((r["doc_id"] or 0 for r in docs.distinct().collect())) == [0, 1, 3, 3, 4]
+            assert docs.where("doc_id is null").count() >= 2
+    assert docs.count() >= 6
+    docs = spark.read.parquet(f"{folder}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, folder), name)
+        assert docs.count() == 0
