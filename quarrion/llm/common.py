@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextvars
+import functools
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -36,6 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+#: Tables written by the operator that runs.
+_made: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -52,16 +56,64 @@ def written(df: DataFrame, name: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+    if (made := _made.get()) is not None:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def discard(df: DataFrame) -> None:
     """Deletes a table made by written() once nothing reads it any more."""
-    spark = df.sparkSession
     for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
         if "/quarrion-" in path:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+            _delete(df.sparkSession, path)
+
+
+def tidied(operator: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """The operator, whose written() tables are deleted at its end but for those that its result reads."""
+
+    @functools.wraps(operator)
+    def run(*args, **kwargs) -> DataFrame:
+        token = _made.set([])
+        try:
+            out = operator(*args, **kwargs)
+            made = _made.get()
+        finally:
+            _made.reset(token)
+        needed = {p.rsplit("/", 1)[0].rpartition("quarrion-")[2] for p in out.inputFiles()}
+        for path in made:
+            if path.rpartition("quarrion-")[2] not in needed:
+                _delete(out.sparkSession, path)
+        return out
+
+    return run
+
+
+#: Rows of a key for it to be joined where its rows are, and such keys at most (16 to 40 bytes each); with more of them, the bar rises.
+HOT_ROWS, MAX_HOT_KEYS = 128, 1 << 19
+
+
+def joined_by_key(rows: DataFrame, groups: DataFrame, on: list[str], spread: str) -> DataFrame:
+    """rows joined with groups, a written table with one row a key and `c`, the number of its rows.
+
+    Keys with many rows are broadcast: their rows stay in their tasks, or are dealt out by the column `spread`, so that no
+    task gets a key's rows all together. The result has groups' columns but for c.
+    """
+    values = [x for x in groups.columns if x not in (*on, "c")]
+    least = HOT_ROWS
+    while (n := groups.where(F.col("c") >= least).count()) > MAX_HOT_KEYS:
+        least *= 2
+    if not n:
+        return rows.join(groups.drop("c"), on).select(*rows.columns, *values)
+    hot = groups.where(F.col("c") >= least).select(*on, F.struct(*values).alias("_hot"))
+    rest = groups.where(F.col("c") < least).select(*on, F.lit(0).alias("_salt"), F.struct(*values).alias("_rest"))
+    both = rows.join(F.broadcast(hot), on, "left").withColumn("_salt", F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(spread), F.lit(1 << 20)).cast("int")))
+    both = both.join(rest, [*on, "_salt"], "left").where(F.coalesce("_hot", "_rest").isNotNull())
+    return both.select(*rows.columns, *[F.coalesce(F.col("_hot"), F.col("_rest"))[x].alias(x) for x in values])
 
 
 def is_separator(separators: bytes) -> np.ndarray:

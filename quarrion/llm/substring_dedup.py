@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import chunks, discard, id_text, mix, rolling, table, words_of, written
+from .common import chunks, discard, id_text, joined_by_key, mix, rolling, table, tidied, words_of, written
 
 WIDTH = 50
 #: Bits of the bitmap: 16 for each shared minimiser, within these bounds (64 MB at most).
@@ -104,8 +104,8 @@ def repeated_windows(docs: DataFrame, width: int = WIDTH) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(ids[row:stop][w.doc[start]])], ["h", "doc_id"])
 
     seen = docs.mapInArrow(run, "h long, doc_id long")
-    least = seen.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").select("h", "lo")
-    later = seen.join(least, "h").where("doc_id > lo")
+    least = seen.groupBy("h").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("c")).where("lo < hi").drop("hi")
+    later = joined_by_key(seen, written(least, "repeated"), ["h"], "doc_id").where("doc_id > lo")
     return later.groupBy("doc_id").agg(F.collect_set("h").alias("found"))
 
 
@@ -129,6 +129,7 @@ def intervals(keep: np.ndarray) -> list[dict]:
     return [{"begin": int(a), "end": int(b)} for a, b in zip(np.flatnonzero(edge == 1), np.flatnonzero(edge == -1), strict=True)]
 
 
+@tidied
 def _applied(docs: DataFrame, width: int, schema: str, row_of) -> DataFrame:
     found = repeated_windows(docs, width)
     keyed = docs.withColumn("_key", F.coalesce("doc_id", F.lit(NO_ID)))
@@ -170,7 +171,8 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP3_SQL = r"""
-WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w FROM documents),
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w FROM documents),
 g AS (SELECT doc_id, unnest(range(1, len(w) - 48)) AS i, unnest(list_transform(range(1, len(w) - 48), lambda i: md5(array_to_string(list_slice(w, i, i + 49), ' ')))) AS h FROM w),
 r AS (SELECT doc_id, i FROM (SELECT doc_id, i, min(doc_id) OVER (PARTITION BY h) AS lo FROM g) WHERE lo < doc_id),
 p AS (SELECT DISTINCT doc_id, unnest(range(i, i + 50)) AS i FROM r),
