@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import LOWER, SPACES, chunks, discard, id_text, mix, rolling, table, words_of, written
+from .common import LOWER, SPACES, chunks, discard, id_text, mix, rolling, table, tidied, words_of, written
 
 BUCKETS = 10_000
 #: Labelled documents that the target model is fitted on, at most; those with the least hashes of their ids.
@@ -167,6 +167,7 @@ def _threshold(scored: DataFrame, k: int | None, loss: float) -> float:
     return kth_largest(scored, "gumbel_score", k) if k > 0 else float("inf")
 
 
+@tidied
 def resample(docs: DataFrame, target: DataFrame, k: int | None = None, loss: float = LOSS, buckets: int = BUCKETS, seed: int = 6, id_col: str = "doc_id", text_col: str = "text", max_target: int = MAX_TARGET) -> DataFrame:
     """(doc_id, n_features, log_weight, gumbel_score, kept).
 
@@ -181,6 +182,7 @@ def resample(docs: DataFrame, target: DataFrame, k: int | None = None, loss: flo
     return scored.withColumn("kept", F.col("gumbel_score") >= F.lit(_threshold(scored, k, loss)))
 
 
+@tidied
 def keep_sampled(docs: DataFrame, target: DataFrame, k: int | None = None, loss: float = LOSS, buckets: int = BUCKETS, seed: int = 6, id_col: str = "doc_id", text_col: str = "text", max_target: int = MAX_TARGET) -> DataFrame:
     """The rows of docs, all their columns, that resample() keeps: scored anew in place, so that no text is shuffled."""
     scored, models = _scored(id_text(docs, id_col, text_col), target, buckets, seed, max_target)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, SPACES, chunks, discard, id_text, mix, rolling, table, words_of, written
+from .common import LOWER, SPACES, chunks, discard, id_text, joined_by_key, mix, rolling, table, tidied, words_of, written
 from .components import components
 
 #: Prefixes are so much longer than the least length; the number of tokens that candidates must share.
@@ -195,11 +195,12 @@ def _near_sizes(a: Column, b: Column, rule: Rule) -> Column:
 def copies(docs: DataFrame, summary: DataFrame, rule: Rule) -> DataFrame:
     """Links (a, b) inside groups of copies: each document with the smallest id among those that agree with it."""
     full = summary.where("n > 0")
-    equal = full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("b"))
-    same = full.join(equal, ["k1", "k2", "n"]).where("doc_id > b").select(F.col("doc_id").alias("a"), "b")
+    equal = full.groupBy("k1", "k2", "n").agg(F.min("doc_id").alias("b"), F.count("*").alias("c")).where("c > 1")
+    same = joined_by_key(full.select("doc_id", "k1", "k2", "n"), written(equal, "equal"), ["k1", "k2", "n"], "doc_id")
+    same = same.where("doc_id > b").select(F.col("doc_id").alias("a"), "b")
     low = full.select("doc_id", "n", F.explode("low").alias("t"))
-    first = low.groupBy("t").agg(F.min(F.struct("doc_id", "n")).alias("f"), F.count("*").alias("c")).where("c > 1").select("t", F.col("f.doc_id").alias("b"), F.col("f.n").alias("m"))
-    agree = low.join(first, "t").where((F.col("doc_id") > F.col("b")) & _near_sizes(F.col("n"), F.col("m"), rule))
+    first = low.groupBy("t").agg(F.min(F.struct("doc_id", "n")).alias("f"), F.count("*").alias("c")).where("c > 1").select("t", F.col("f.doc_id").alias("b"), F.col("f.n").alias("m"), "c")
+    agree = joined_by_key(low, written(first, "first"), ["t"], "doc_id").where((F.col("doc_id") > F.col("b")) & _near_sizes(F.col("n"), F.col("m"), rule))
     pairs = agree.groupBy(F.col("doc_id").alias("a"), "b").agg(F.count("*").alias("c")).where(F.col("c") >= LOW_AGREE).select("a", "b")
     pairs = written(pairs.join(same, ["a", "b"], "left_anti"), "pairs")
     return same.unionByName(verified(docs, pairs, rule, star=True))
@@ -345,6 +346,7 @@ def candidates(sigs: DataFrame, groups: DataFrame, rule: Rule) -> DataFrame:
     return counted.where(F.col("rare") + often >= sure).select("a", "b")
 
 
+@tidied
 def joined(docs: DataFrame, size: int = 4, percent: int = 85, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, component_id): one row for each row of docs.
 

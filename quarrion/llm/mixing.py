@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, tidied, written
 
 #: Blocks of a source; windows only ever see the blocks of a source or the documents of one block.
 BLOCKS = 1024
@@ -80,6 +80,7 @@ def _order(seed: int, *parts) -> Column:
     return F.xxhash64(F.lit(seed), *parts)
 
 
+@tidied
 def mixed(docs: DataFrame, repetition_limit: float | None = REPETITION_LIMIT, target_entropy: float | None = None, budget: int | None = None, seed: int = 17, blocks: int = BLOCKS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """(row, n_tokens, weight, block, copies): row holds all columns of docs, copies is how often the mixture has the row.
 

@@ -13,7 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, written
+from .common import table, tidied, written
 
 #: The expressions of the contract, and the kinds in its order.
 KINDS = {
@@ -259,6 +259,7 @@ def discovered(occ: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS,
     return hits.where(fits).select("doc_id", "th", "start", rank.alias("rank"), "end", "value").distinct()
 
 
+@tidied
 def find(docs: DataFrame, rounds: int = ROUNDS, min_seeds: int = MIN_SEEDS, min_confidence: float = MIN_CONFIDENCE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(row, doc_id, text, base, spans): base spans and all spans of each text, by start, then kind.
 

@@ -6,6 +6,7 @@ import math
 import random
 import re
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -680,6 +681,35 @@ def test_jaccard_join_odd(spark, nothing):
     assert found == sorted([(False, 1, 2, 1), (False, 1, 1, 1), (False, 2, 0, 2), (False, 4, 1, 1), (True, 0, 0, None), (True, 0, 2, None)], key=str)
 
 
+@pytest.mark.parametrize("bar, most", [(4, 100), (4, 1), (1000, 100)])
+def test_joined_by_key(spark, monkeypatch, bar, most):
+    """Keys with many rows, some of them, or none as a broadcast: the plain join; null keys join nothing."""
+    from quarrion.llm import common
+
+    monkeypatch.setattr(common, "HOT_ROWS", bar)
+    monkeypatch.setattr(common, "MAX_HOT_KEYS", most)
+    rng = random.Random(3)
+    rows = [(i, rng.choice([1, 1, 1, 2, 2, 3, rng.randrange(100), None])) for i in range(300)]
+    left = spark.createDataFrame(rows, "id long, k long")
+    groups = common.written(left.where("k % 3 <> 0").groupBy("k").agg(F.min("id").alias("lo"), F.count("*").alias("c")), "groups")
+    got = common.joined_by_key(left, groups, ["k"], "id")
+    assert got.columns == ["id", "k", "lo"]
+    first = {k: min(i for i, x in rows if x == k) for _, k in rows if k is not None and k % 3}
+    assert sorted(map(tuple, got.collect())) == sorted((i, k, first[k]) for i, k in rows if k in first)
+
+
+def test_written_tables_are_deleted(spark, docs):
+    """After an operator only the tables are left that its result reads."""
+    from quarrion.llm import common
+
+    before = set(Path(common.shared_dir(spark).removeprefix("file:")).glob("quarrion-*"))
+    out = jaccard_join.joined(docs)
+    left = set(Path(common.shared_dir(spark).removeprefix("file:")).glob("quarrion-*/*")) - {y for x in before for y in x.glob("*")}
+    read = {str(Path(p.removeprefix("file:")).parent) for p in out.inputFiles()}
+    assert left and all(str(p).replace("//", "/") in {r.replace("//", "/").replace("//", "/") for r in read} for p in left)
+    assert out.count() == docs.count()
+
+
 def test_spark_hash(spark):
     values = [0, 1, -1, 42, -(1 << 63), (1 << 63) - 1, 123456789012345]
     want = [r[0] for r in spark.createDataFrame([(v,) for v in values], "v long").select(F.xxhash64("v")).collect()]
