@@ -1,27 +1,30 @@
 """SentencePiece encoding and decoding by a table of distinct chunks.
 
 No piece of the model has the whitespace marker behind another character, so merges never cross from one marked
-word (a run of markers and what follows it) to the next. Each distinct marked word is therefore segmented once, in a
-table that each task keeps, and the ids of a text are those of its words joined in order. The table holds at most
-`max_entries` words and those of one batch; a full one is emptied, which costs time but changes no result.
+word (a run of markers and what follows it) to the next. Texts are dealt into shares of some megabytes by hash; the distinct
+marked words of all shares, dealt out by word, are segmented once each; and each share gets the entries of its words back
+and joins the ids of its texts by position. What a share doesn't have is never sent to it, so no table must fit anywhere whole.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import id_text, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
-MAX_ENTRIES = 300_000
-#: Words longer than this are segmented anew each time, so that the table's size in bytes is bounded as well.
-MAX_KEPT_CHARS = 64
+#: Characters of text in a share, on average; a longer text makes its share longer.
+SHARE_CHARS = 8_000_000
+#: Entries of a table in memory before it is emptied, and the length of words that it keeps.
+MAX_ENTRIES, MAX_KEPT_CHARS = 300_000, 64
 
 
 def model_path(name: str = "piece_bpe_32k.model") -> str:
@@ -31,7 +34,7 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 class ChunkTable:
-    """Segmentations of distinct marked words: (ids, ids as text, decoded text)."""
+    """Segmentations of distinct marked words in memory: (number of ids, ids as text, decoded text)."""
 
     def __init__(self, path: str, max_entries: int = MAX_ENTRIES):
         import sentencepiece
@@ -49,16 +52,19 @@ class ChunkTable:
         """word has spaces for markers and at least one in front; the library adds one marker itself."""
         return self.model.encode(word[1:]) if len(word) > 1 else [self.model.piece_to_id(MARK)]
 
-    def add(self, words: set[str]) -> dict[str, tuple[int, str, str]]:
-        """Segments words that the table lacks, all in one call; returns those too long to keep."""
-        new = list(words)
+    def entries(self, words: list[str]) -> list[tuple[int, str, str]]:
+        """Segmentations of words, all in one call."""
         lone = self.model.piece_to_id(MARK)
-        ids = [x or [lone] for x in self.model.encode([w[1:].replace(MARK, " ") for w in new], num_threads=1)]
+        ids = [x or [lone] for x in self.model.encode([w[1:].replace(MARK, " ") for w in words], num_threads=1)]
         # decode() strips one leading space, so a marker goes in front
         texts = self.model.decode([[lone, *x] for x in ids], num_threads=1)
-        passing = {}
-        for w, x, t in zip(new, ids, texts, strict=True):
-            (self.known if len(w) <= MAX_KEPT_CHARS else passing)[w] = (len(x), ",".join(map(str, x)), t)
+        return [(len(x), ",".join(map(str, x)), t) for x, t in zip(ids, texts, strict=True)]
+
+    def add(self, words: set[str]) -> dict[str, tuple[int, str, str]]:
+        """Segments words that the table lacks; returns those too long to keep."""
+        new, passing = list(words), {}
+        for w, entry in zip(new, self.entries(new), strict=True):
+            (self.known if len(w) <= MAX_KEPT_CHARS else passing)[w] = entry
         return passing
 
     def segmented(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
@@ -71,54 +77,88 @@ class ChunkTable:
             return [[known[w] if w in known else passing[w] for w in words] for words in split]
         return [[known[w] for w in words] for words in split]
 
-    def split(self, text: str) -> list[str]:
+    @staticmethod
+    def split(text: str) -> list[str]:
         return CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
 
     def encode(self, texts: list[str]) -> list[list[int]]:
         return [[int(i) for x in found for i in x[1].split(",")] for found in self.segmented(texts)]
 
-    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
-        """Number of ids, ids joined by commas, decoded text."""
-        out = []
-        for found in self.segmented(texts):
-            decoded = "".join([x[2] for x in found])
-            out.append((sum([x[0] for x in found]), ",".join([x[1] for x in found]), decoded[1:] if decoded[:1] == " " else decoded))
-        return out
 
+def _by_table(docs: DataFrame, path: str, schema: str, of: Callable[[list[list[tuple[int, str, str]]]], list[pa.Array]], id_col: str, text_col: str, share_chars: int) -> DataFrame:
+    """(doc_id, columns of `of`) of each row; of: columns from the entries of texts."""
+    given = id_text(docs, id_col, text_col)
+    shares = max(1, math.ceil((given.agg(F.sum(F.length("text"))).first()[0] or 0) / share_chars))
+    dealt = given.withColumn("share", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shares)))
+
+    def distinct(rows: pa.Table) -> pa.Table:
+        words = set()
+        for text in rows.column("text"):
+            words.update(ChunkTable.split(text.as_py()))
+        return pa.table({"share": pa.repeat(rows.column("share")[0], len(words)), "word": pa.array(words, pa.string())})
 
-def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def segmented(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = ChunkTable(path)
+        last, entry = None, None  # the word that the batch before ended with
+        for batch in batches:
+            column = batch.column(1).to_pylist()
+            new = list(dict.fromkeys(w for w in column if w != last))
+            known = dict(zip(new, model.entries(new), strict=True))
+            if last is not None:
+                known[last] = entry
+            found = [known[w] for w in column]
+            if column:
+                last, entry = column[-1], found[-1]
+            columns = [pa.array(c, k) for c, k in zip(zip(*found) if found else [()] * 3, (pa.int32(), pa.string(), pa.string()), strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["share", "word", "n", "ids", "decoded"])
+
+    words = dealt.groupBy("share").applyInArrow(distinct, "share long, word string")
+    # equal words stand together in one task, where each is segmented once
+    entries = words.repartition("word").sortWithinPartitions("word").mapInArrow(segmented, "share long, word string, n int, ids string, decoded string")
+
+    def joined(rows: pa.Table, known: pa.Table) -> pa.Table:
+        found = dict(zip(known.column("word").to_pylist(), zip(*(known.column(c).to_pylist() for c in ("n", "ids", "decoded")), strict=True), strict=True))
+        parts = [[], *([] for _ in schema.split(", ")[1:])]
+        for at in range(0, rows.num_rows, 256):
+            part = rows.slice(at, 256)
+            columns = of([[found[w] for w in ChunkTable.split(t)] for t in part.column("text").to_pylist()])
+            for kept, column in zip(parts, [part.column("doc_id").combine_chunks(), *columns], strict=True):
+                kept.append(column)
+        return pa.table([pa.chunked_array(p, p[0].type) for p in parts], [c.split()[0] for c in schema.split(", ")]) if parts[0] else pa.table([pa.array([])] * len(parts), [c.split()[0] for c in schema.split(", ")])
+
+    return dealt.groupBy("share").cogroup(entries.groupBy("share")).applyInArrow(joined, schema)
+
+
+def _decoded(found: list[tuple[int, str, str]]) -> str:
+    text = "".join([x[2] for x in found])
+    return text[1:] if text[:1] == " " else text
+
+
+def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", share_chars: int = SHARE_CHARS) -> DataFrame:
     """Token ids of each text: (doc_id, ids array<int>, decoded string).
 
     Null and empty texts give no ids and an empty decoded text. Rows that repeat, whole or in their id, each give a row.
     """
-    path = model or model_path()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ChunkTable(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                texts = part.column(1).to_pylist()
-                ids = known.encode(texts)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array([x[2] for x in known.digests(texts)], pa.string())], ["doc_id", "ids", "decoded"])
+    def of(texts):
+        ids = [[int(i) for x in found for i in x[1].split(",")] for found in texts]
+        return [pa.array(ids, pa.list_(pa.int32())), pa.array([_decoded(found) for found in texts], pa.string())]
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids array<int>, decoded string")
+    return _by_table(docs, model or model_path(), "doc_id long, ids array<int>, decoded string", of, id_col, text_col, share_chars)
 
 
-def encode_digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode_digests(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text", share_chars: int = SHARE_CHARS) -> DataFrame:
     """(doc_id, n_tokens, ids_sha256, decoded_sha256) without building the ids as arrays; else as encode()."""
-    path = model or model_path()
+    sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = ChunkTable(path)
-        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                rows = known.digests(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([r[0] for r in rows], pa.int64()), pa.array([sha(r[1]) for r in rows], pa.string()), pa.array([sha(r[2]) for r in rows], pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+    def of(texts):
+        return [
+            pa.array([sum([x[0] for x in found]) for found in texts], pa.int64()),
+            pa.array([sha(",".join([x[1] for x in found])) for found in texts], pa.string()),
+            pa.array([sha(_decoded(found)) for found in texts], pa.string()),
+        ]
 
-    return id_text(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return _by_table(docs, model or model_path(), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string", of, id_col, text_col, share_chars)
 
 
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
