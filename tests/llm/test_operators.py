@@ -626,8 +626,6 @@ def test_sentencepiece(spark, docs, rows, nothing):
         ids = model.encode(texts[r["doc_id"]] or "")
         assert r["n_tokens"] == len(ids) and r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
         assert r["decoded_sha256"] == hashlib.sha256(model.decode(ids).encode()).hexdigest()
-    many = sentencepiece_codec.encode(every, share_chars=500)  # hundreds of shares
-    assert sorted(map(tuple, many.collect()), key=str) == sorted(map(tuple, sentencepiece_codec.encode(every).collect()), key=str)
     assert sentencepiece_codec.encode_digests(nothing).count() == 0
     small = sentencepiece_codec.ChunkTable(sentencepiece_codec.model_path(), max_entries=3)
     assert [small.encode([t])[0] for t in ("a b c d e", "f g h", "a b")] == [model.encode(t) for t in ("a b c d e", "f g h", "a b")]
