@@ -102,11 +102,11 @@ def differing_shards(left: DataFrame, right: DataFrame, key: str, fields: list[s
     return both.where(~F.col("l").eqNullSafe(F.col("r"))).select("shard")
 
 
-def lineage_roots(links: DataFrame, most: int = 50) -> DataFrame:
+def lineage_roots(links: DataFrame) -> DataFrame:
     """(id, roots): parents without parents that each record derives from. links (id, parent)."""
     from .graph import reach
 
     edges = links.select(F.col("id").alias("src"), F.col("parent").alias("dst"))
     tops = links.select(F.col("parent").alias("node")).join(links.select(F.col("id").alias("node")), "node", "left_anti").distinct()
-    far = reach(edges, links.select(F.col("id").alias("start")).distinct(), most)
+    far = reach(edges, links.select(F.col("id").alias("start")).distinct(), None)
     return far.join(tops, "node").groupBy(F.col("start").alias("id")).agg(F.sort_array(F.collect_set("node")).alias("roots"))

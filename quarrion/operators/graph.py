@@ -5,7 +5,9 @@ Iterative algorithms cut their lineage with checkpoint(), so that plans stay sho
 
 from __future__ import annotations
 
+import itertools
 import tempfile
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -22,6 +24,11 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _rounds(most: int | None) -> Iterable[int]:
+    """1, 2, ... up to `most`, where that is part of the question, or without an end."""
+    return itertools.count(1) if most is None else range(1, most + 1)
+
+
 def expand(edges: DataFrame, starts: DataFrame, direction: str = "out", types: list[str] | None = None) -> DataFrame:
     """(start, src, dst) for one hop from each start (start). Undirected: out and in, a loop twice."""
     rows = edges if types is None else edges.where(F.col("type").isin(types))
@@ -31,40 +38,45 @@ def expand(edges: DataFrame, starts: DataFrame, direction: str = "out", types: l
 
 
 def directed(edges: DataFrame, direction: str = "out") -> DataFrame:
-    """Distinct (src, dst) to walk along."""
+    """(src, dst) to walk along; repeated edges come repeatedly."""
     out = edges.select("src", "dst")
     into = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
-    return (out if direction == "out" else into if direction == "in" else out.unionByName(into)).distinct()
+    return (out if direction == "out" else into if direction == "in" else out.unionByName(into))
 
 
-def reach(edges: DataFrame, starts: DataFrame, most: int, least: int = 1, direction: str = "out") -> DataFrame:
-    """(start, node, depth): nodes least..most hops away by the shortest way, the start itself left out. starts: (start)."""
+def reach(edges: DataFrame, starts: DataFrame, most: int | None, least: int = 1, direction: str = "out") -> DataFrame:
+    """(start, node, depth): nodes least..most hops away by the shortest way, the start itself left out. starts: (start).
+
+    Without `most` it goes on until no node is new. The edges are written once for all hops; each hop drops what it has seen.
+    """
     walk = directed(edges, direction)
+    if most is None or most > 1:
+        walk = _cut(walk)
     seen = starts.select("start", F.col("start").alias("node"), F.lit(0).alias("depth")).distinct()
     front = seen
-    for depth in range(1, most + 1):
+    for depth in _rounds(most):
         step = front.join(walk, front["node"] == walk["src"]).select("start", F.col("dst").alias("node")).distinct()
         front = step.join(seen.select("start", "node"), ["start", "node"], "left_anti").withColumn("depth", F.lit(depth))
         front = _cut(front)
         if front.limit(1).count() == 0:
             break
         seen = seen.unionByName(front)
-    return seen.where(F.col("depth").between(max(1, least), most))
+    return seen.where(F.col("depth") >= max(1, least))
 
 
-def bfs(edges: DataFrame, source, direction: str = "out", most: int = 1000) -> DataFrame:
+def bfs(edges: DataFrame, source, direction: str = "out", most: int | None = None) -> DataFrame:
     """(node, distance), the source at 0."""
     starts = edges.sparkSession.createDataFrame([(source,)], ["start"])
     far = reach(edges, starts, most, 1, direction).select("node", F.col("depth").alias("distance"))
     return starts.select(F.col("start").alias("node"), F.lit(0).alias("distance")).unionByName(far)
 
 
-def shortest_costs(edges: DataFrame, source, most: int = 1000) -> DataFrame:
+def shortest_costs(edges: DataFrame, source, most: int | None = None) -> DataFrame:
     """(node, cost) over non-negative weights (null counts as 1), relaxed until nothing improves."""
     w = edges.groupBy("src", "dst").agg(F.min(F.coalesce("weight", F.lit(1.0))).cast("double").alias("w"))
     best = edges.sparkSession.createDataFrame([(source, 0.0)], ["node", "cost"])
     front = best
-    for _ in range(most):
+    for _ in _rounds(most):
         step = front.join(w, front["node"] == w["src"]).select(F.col("dst").alias("node"), (F.col("cost") + F.col("w")).alias("cost")).groupBy("node").agg(F.min("cost").alias("cost"))
         old = best.withColumnRenamed("cost", "old")
         front = _cut(step.join(old, "node", "left").where(F.col("old").isNull() | (F.col("cost") < F.col("old"))).select("node", "cost"))
@@ -74,12 +86,12 @@ def shortest_costs(edges: DataFrame, source, most: int = 1000) -> DataFrame:
     return best
 
 
-def path(edges: DataFrame, source, target, most: int = 50, direction: str = "out") -> DataFrame:
+def path(edges: DataFrame, source, target, most: int | None = None, direction: str = "out") -> DataFrame:
     """One row (hops, nodes) with a shortest path, ties to the smaller node at each step; no row if there is none."""
-    walk = directed(edges, direction)
+    walk = _cut(directed(edges, direction).distinct())
     front = edges.sparkSession.createDataFrame([(source, [source])], f"node {dict(edges.dtypes)['src']}, nodes array<{dict(edges.dtypes)['src']}>")
     seen = front
-    for _ in range(most):
+    for _ in _rounds(most):
         if seen.where(F.col("node") == F.lit(target)).limit(1).count():
             break
         step = front.join(walk, front["node"] == walk["src"]).select(F.col("dst").alias("node"), F.array_append("nodes", F.col("dst")).alias("nodes"))
@@ -149,11 +161,11 @@ def page_rank(nodes: DataFrame, edges: DataFrame, damping: float = 0.85, rounds:
     return ranks.select("node_id", "rank")
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 100) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(node_id, component): the smallest id reachable without regard to direction; labels jump along labels."""
-    walk = directed(edges, "both")
+    walk = _cut(directed(edges, "both").distinct())
     labels = nodes.select("node_id", F.col("node_id").alias("component"))
-    for _ in range(most):
+    while True:
         heard = labels.join(walk, labels["node_id"] == walk["src"]).groupBy(F.col("dst").alias("node_id")).agg(F.min("component").alias("heard"))
         near = labels.join(heard, "node_id", "left").select("node_id", F.least("component", F.coalesce("heard", "component")).alias("c"), F.col("component").alias("old"))
         jump = labels.select(F.col("node_id").alias("c"), F.col("component").alias("cc"))
@@ -201,20 +213,53 @@ def triangles(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return out.select("node_id", "triangles", F.when(F.col("d") > 1, 2.0 * F.col("triangles") / (F.col("d") * (F.col("d") - 1))).otherwise(0.0).alias("clustering"))
 
 
-def cycles(edges: DataFrame, most: int = 50) -> DataFrame:
-    """(node, component) of strongly connected components of two nodes or more: forward and backward reach agree."""
-    walk = _cut(directed(edges))
-    # trim what cannot lie on a cycle
-    for _ in range(most):
-        kept = walk.join(walk.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(walk.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        kept = _cut(kept.select("src", "dst"))
-        if kept.count() == walk.count():
+def cycles(edges: DataFrame) -> DataFrame:
+    """(node, component) of strongly connected components of two nodes or more, component being the smallest node in it.
+
+    Nodes that cannot lie on a cycle are trimmed. Then every node takes the smallest node that reaches it as its colour; what
+    reaches a colour's own node inside the colour is a component. Components leave, and the rest starts anew. Each pass
+    keeps one row a node, however large the components are.
+    """
+    walk = _cut(directed(edges).where("src <> dst").distinct())
+    out = None
+    while True:
+        n = walk.count()
+        while True:  # trim
+            kept = walk.join(walk.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").join(walk.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            walk = _cut(kept.select("src", "dst"))
+            n, before = walk.count(), n
+            if n == before:
+                break
+        if not n:
             break
-        walk = kept
-    starts = walk.select(F.col("src").alias("start")).distinct()
-    ahead = reach(walk, starts, most).select(F.col("start").alias("a"), F.col("node").alias("b"))
-    mutual = ahead.join(ahead.select(F.col("a").alias("b"), F.col("b").alias("a")), ["a", "b"])
-    return mutual.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component"))
+        colour = _spread_least(walk, walk.select(F.col("src").alias("node")).distinct())
+        # backwards inside a colour, from its own node
+        tinted = walk.join(colour.withColumnRenamed("node", "src").withColumnRenamed("colour", "cs"), "src").join(colour.withColumnRenamed("node", "dst").withColumnRenamed("colour", "cd"), "dst")
+        inside = _cut(tinted.where("cs = cd").select("src", "dst"))
+        found = front = _cut(colour.where("node = colour"))
+        while front.limit(1).count():
+            step = front.join(inside, front["node"] == inside["dst"]).select(F.col("src").alias("node"), "colour").distinct()
+            front = _cut(step.join(found.select("node"), "node", "left_anti"))
+            found = _cut(found.unionByName(front))
+        part = found.select("node", F.col("colour").alias("component"))
+        out = part if out is None else out.unionByName(part)
+        gone = found.select("node")
+        walk = _cut(walk.join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti").select("src", "dst"))
+    if out is None:
+        return edges.select(F.col("src").alias("node"), F.col("src").alias("component")).limit(0)
+    sizes = out.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
+    return out.join(sizes, "component", "left_semi").select("node", "component")
+
+
+def _spread_least(walk: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, colour): the smallest node that reaches each node, itself included."""
+    labels = nodes.select("node", F.col("node").alias("colour"))
+    while True:
+        heard = labels.join(walk, labels["node"] == walk["src"]).groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("heard"))
+        new = _cut(labels.join(heard, "node", "left").select("node", F.least("colour", F.coalesce("heard", "colour")).alias("colour"), F.col("colour").alias("old")))
+        labels = new.select("node", "colour")
+        if not new.where("colour <> old").limit(1).count():
+            return labels
 
 
 def label_communities(nodes: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
@@ -254,7 +299,7 @@ def neighbourhood(edges: DataFrame, node, k: int | None = None) -> DataFrame:
 
 def traverse(edges: DataFrame, start, depth: int = 3, per_hub: int = 250, most: int = 1000) -> DataFrame:
     """(node, depth) around a start without regard to direction, with budgets of edges a node and of results."""
-    both = directed(edges, "both")
+    both = directed(edges, "both").distinct()
     ranked = both.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("r") <= per_hub).drop("r")
     starts = edges.sparkSession.createDataFrame([(start,)], ["start"])
     return reach(ranked.withColumn("type", F.lit("")), starts, depth).select("node", "depth").orderBy("depth", "node").limit(most)

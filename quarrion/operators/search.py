@@ -44,6 +44,8 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "c
                 part = []
         if part:
             blocks.append(pd.DataFrame(part, columns=["query_id", "embedding"]))
+    if sum(map(len, blocks)) == 0:
+        return vectors.select(F.lit(0).cast("long").alias("query_id"), F.col(id_col).cast("long").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
     out = None
     for frame in blocks:
         found = _one_block(vectors, frame, k, metric, id_col, vector_col)

@@ -15,7 +15,7 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def experience_trace(spark, sf_dir):
     """An order is an attempt, its customer the problem, the customer's nation the context, its lines the actions."""
     o, c, n, li = (_t(spark, sf_dir, x) for x in ("orders", "customer", "nation", "lineitem"))
-    attempts = o.where("o_orderkey % 20 = 0").join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("o_orderkey").alias("attempt_id"), F.col("o_custkey").alias("problem_id"), F.col("c_nationkey").alias("context_id"))
+    attempts = o.join(c, o["o_custkey"] == c["c_custkey"]).select(F.col("o_orderkey").alias("attempt_id"), F.col("o_custkey").alias("problem_id"), F.col("c_nationkey").alias("context_id"))
     problems = c.select(F.col("c_custkey").alias("problem_id"), F.col("c_mktsegment").alias("problem"))
     contexts = n.select(F.col("n_nationkey").alias("context_id"), F.col("n_name").alias("context"))
     outcomes = o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("attempt_id"), F.lit("done").alias("outcome"))
@@ -95,7 +95,7 @@ _DOT = "list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE *
 _COS = f"{_DOT} / sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
 _U = "u AS (SELECT user_id, strftime(ts, '%Y-%m') AS month, count(*) AS operations, sum(value) AS units FROM events GROUP BY ALL)"
 ORACLE_SQL = {
-    "experience_trace": "SELECT o_orderkey AS attempt_id, c_mktsegment AS problem, n_name AS context, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE '-' END AS outcome, coalesce((SELECT string_agg(l_linenumber || ':' || l_partkey, '|' ORDER BY l_linenumber, l_partkey, l_suppkey) FROM lineitem WHERE l_orderkey = o_orderkey), '') AS actions FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 20 = 0",
+    "experience_trace": "SELECT o_orderkey AS attempt_id, c_mktsegment AS problem, n_name AS context, CASE WHEN o_orderstatus = 'F' THEN 'done' ELSE '-' END AS outcome, coalesce((SELECT string_agg(l_linenumber || ':' || l_partkey, '|' ORDER BY l_linenumber, l_partkey, l_suppkey) FROM lineitem WHERE l_orderkey = o_orderkey), '') AS actions FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey",
     "experience_query": "SELECT event_id AS attempt_id FROM events WHERE user_id = 7 AND event_type = 'click' AND value > 50 AND event_id <= 8000",
     "experience_cases": "WITH r AS (SELECT event_id, value, CASE WHEN event_type = 'view' THEN 'not completed' WHEN event_type = 'click' THEN 'no outcome' WHEN event_id % 7 = 0 THEN 'no metrics' WHEN user_id % 5 = 0 THEN 'no domain' ELSE 'kept' END AS reason FROM events) SELECT reason, CASE WHEN reason <> 'kept' THEN '-' WHEN event_id <= 6000 THEN 'discovery' ELSE 'validation' END AS part, CASE WHEN reason <> 'kept' THEN '-' WHEN value >= 40 THEN 'true' ELSE 'false' END AS success, count(*) AS n FROM r GROUP BY ALL",
     "eligible_topk": f"SELECT vec_id, round(s, 5) AS score, true AS certified, 'Certified' AS contract, (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 5) AS eligible, (SELECT count(*) FROM embeddings WHERE vec_id % 20 = 5) AS scored FROM (SELECT e.vec_id, {_COS} AS s FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 5) q WHERE e.vec_id % 20 = 5 ORDER BY s DESC, vec_id LIMIT 5)",

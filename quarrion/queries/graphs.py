@@ -62,11 +62,11 @@ def _small(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
 
 
 def _parts_graph(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Suppliers joined by parts of brand 11 and size up to 15 that both deliver: undirected, src < dst."""
-    li, part = _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "part").where("p_size <= 10 and p_partkey % 8 = 0")
-    ps = li.join(part, li["l_partkey"] == part["p_partkey"]).select("l_partkey", "l_suppkey").distinct()
+    """Suppliers of a nation joined by parts that both deliver: undirected, src < dst."""
+    li, s = _t(spark, sf_dir, "lineitem"), _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_nationkey")
+    ps = li.select("l_partkey", "l_suppkey").distinct().join(s, "l_suppkey")
     x, y = ps.alias("x"), ps.alias("y")
-    e = x.join(y, (F.col("x.l_partkey") == F.col("y.l_partkey")) & (F.col("x.l_suppkey") < F.col("y.l_suppkey"))).select(F.col("x.l_suppkey").alias("src"), F.col("y.l_suppkey").alias("dst")).distinct()
+    e = x.join(y, (F.col("x.l_partkey") == F.col("y.l_partkey")) & (F.col("x.s_nationkey") == F.col("y.s_nationkey")) & (F.col("x.l_suppkey") < F.col("y.l_suppkey"))).select(F.col("x.l_suppkey").alias("src"), F.col("y.l_suppkey").alias("dst")).distinct()
     return _t(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node_id")), e.withColumn("type", F.lit("T")).withColumn("weight", F.lit(1.0))
 
 
@@ -104,7 +104,7 @@ def graph_vector_seed(spark, sf_dir):
     """The nearest vectors as start of an expansion to vectors of the same label."""
     v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
     n = v.select(F.col("vec_id").alias("node_id"), F.array(F.concat(F.lit("L"), F.col("label").cast("string"))).alias("labels"), "embedding")
-    e = v.select(F.col("vec_id").alias("src"), ((F.col("vec_id") + F.col("label") + 1) % 500).cast("long").alias("dst"), F.lit("NEXT").alias("type"))
+    e = v.select(F.col("vec_id").alias("src"), ((F.col("vec_id") + F.col("label") + 1) % v.count()).cast("long").alias("dst"), F.lit("NEXT").alias("type"))
     q = v.where("vec_id = 0").first()["embedding"]
     return Graph(n, e, "embedding").run("VECTOR MATCH (a) USING $q LIMIT 5 CONTRACT Exact MATCH (a)-[:NEXT]->(b) RETURN a, b", q=q)
 
@@ -175,8 +175,8 @@ def graph_communities(spark, sf_dir):
 
 def graph_cycles(spark, sf_dir):
     """Cycles among vectors that point on by their label."""
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id < 40")
-    e = v.select(F.col("vec_id").alias("src"), ((F.col("vec_id") * 7 + F.col("label")) % 40).cast("long").alias("dst"))
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    e = v.select(F.col("vec_id").alias("src"), ((F.col("vec_id") * 7 + F.col("label")) % v.count()).cast("long").alias("dst"))
     return graph.cycles(e)
 
 
@@ -206,7 +206,7 @@ _N = """n AS (SELECT 'C:' || c_custkey AS node_id, 'Customer' AS label FROM cust
 UNION ALL SELECT 'S:' || s_suppkey, 'Supplier' FROM supplier UNION ALL SELECT 'N:' || n_nationkey, 'Nation' FROM nation UNION ALL SELECT 'R:' || r_regionkey, 'Region' FROM region)"""
 _SMALL = f"{_E}, {_N}, se AS (SELECT * FROM e WHERE type IN ('LOCATED_IN', 'IN_REGION')), sn AS (SELECT * FROM n WHERE label IN ('Customer', 'Supplier', 'Nation', 'Region'))"
 _DEG = f"{_SMALL}, d AS (SELECT node_id, (SELECT count(*) FROM se WHERE src = node_id) AS out_degree, (SELECT count(*) FROM se WHERE dst = node_id) AS in_degree FROM sn)"
-_PG = "ps AS (SELECT DISTINCT l_partkey, l_suppkey FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size <= 10 AND p_partkey % 8 = 0), g AS (SELECT DISTINCT x.l_suppkey AS src, y.l_suppkey AS dst FROM ps x JOIN ps y ON x.l_partkey = y.l_partkey AND x.l_suppkey < y.l_suppkey)"
+_PG = "ps AS (SELECT DISTINCT l_partkey, l_suppkey, s_nationkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey), g AS (SELECT DISTINCT x.l_suppkey AS src, y.l_suppkey AS dst FROM ps x JOIN ps y ON x.l_partkey = y.l_partkey AND x.s_nationkey = y.s_nationkey AND x.l_suppkey < y.l_suppkey)"
 _UND = "u AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g)"
 
 
@@ -222,7 +222,7 @@ ORACLE_SQL = {
     "graph_query": "SELECT 'C:' || c_custkey AS c, 'O:' || o_orderkey AS o, p_brand AS p_name FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE c_mktsegment = 'BUILDING' AND c_acctbal > 5000 AND (p_retailprice < 950 OR o_orderpriority = '1-URGENT')",
     "graph_optional": "SELECT 'N:' || n_nationkey AS n, r_name, coalesce('S:' || s_suppkey, '-') AS s FROM nation JOIN region ON r_regionkey = n_regionkey LEFT JOIN supplier ON s_nationkey = n_nationkey WHERE r_name = 'ASIA'",
     "graph_hops": "SELECT 'S:' || s_suppkey AS s, r_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_acctbal > 0 ORDER BY 1, 2 LIMIT 50",
-    "graph_vector_seed": "SELECT vec_id AS a, (vec_id + label + 1) % 500 AS b FROM (SELECT e.vec_id, e.label FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)) / sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))) DESC, vec_id LIMIT 5)",
+    "graph_vector_seed": "SELECT vec_id AS a, (vec_id + label + 1) % (SELECT count(*) FROM embeddings) AS b FROM (SELECT e.vec_id, e.label FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)) / sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE))) DESC, vec_id LIMIT 5)",
     "graph_degree": f"WITH {_DEG} SELECT node_id, out_degree, in_degree, out_degree + in_degree AS degree FROM d",
     "graph_centrality": f"WITH {_DEG} SELECT node_id, round((out_degree + in_degree)::DOUBLE / ((SELECT count(*) FROM sn) - 1), 6) AS centrality FROM d",
     "graph_degree_stats": f"WITH {_DEG} SELECT " + ", ".join(f"round({f}({c})::DOUBLE, 6) AS {f}_{c}" for c in ("out_degree", "in_degree") for f in ("min", "max", "avg")) + " FROM d",
@@ -235,7 +235,7 @@ ORACLE_SQL = {
     "graph_wcc": "WITH x AS (SELECT 'N:' || n_nationkey AS node_id, n_regionkey AS r FROM nation UNION ALL SELECT 'R:' || r_regionkey, r_regionkey FROM region UNION ALL SELECT 'S:' || s_suppkey, n_regionkey FROM supplier JOIN nation ON n_nationkey = s_nationkey) SELECT node_id, min(node_id) OVER (PARTITION BY r) AS component FROM x",
     "graph_pagerank": f"WITH {_PG}, od AS (SELECT src, count(*) AS d FROM g GROUP BY src), p0 AS (SELECT s_suppkey AS node_id, 1.0::DOUBLE / (SELECT count(*) FROM supplier) AS rank FROM supplier){_RANKS} SELECT node_id, round(rank, 6) AS rank FROM p5",
     "graph_triangles": f"WITH {_PG}, {_UND}, t AS (SELECT a.src AS v, count(*) AS t FROM u a JOIN u b ON a.src = b.src AND a.dst < b.dst JOIN g ON g.src = a.dst AND g.dst = b.dst GROUP BY 1), k AS (SELECT src AS v, count(*) AS d FROM u GROUP BY 1) SELECT s_suppkey AS node_id, coalesce(t.t, 0)::BIGINT AS triangles, round(CASE WHEN coalesce(d, 0) > 1 THEN 2.0::DOUBLE * coalesce(t.t, 0) / (d * (d - 1)) ELSE 0 END, 5) AS clustering FROM supplier LEFT JOIN t ON t.v = s_suppkey LEFT JOIN k ON k.v = s_suppkey",
-    "graph_cycles": "WITH RECURSIVE g AS (SELECT vec_id AS src, (vec_id * 7 + label) % 40 AS dst FROM embeddings WHERE vec_id < 40), r AS (SELECT src AS a, dst AS b FROM g UNION SELECT r.a, g.dst FROM r JOIN g ON g.src = r.b), m AS (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b) SELECT a AS node, least(a, min(b)) AS component FROM m GROUP BY a",
+    "graph_cycles": "WITH RECURSIVE g AS (SELECT vec_id AS src, (vec_id * 7 + label) % (SELECT count(*) FROM embeddings) AS dst FROM embeddings), r AS (SELECT src AS a, dst AS b FROM g UNION SELECT r.a, g.dst FROM r JOIN g ON g.src = r.b), m AS (SELECT x.a, x.b FROM r x JOIN r y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b) SELECT a AS node, least(a, min(b)) AS component FROM m GROUP BY a",
     "graph_traverse": f"WITH RECURSIVE {_SMALL}, w AS (SELECT src, dst FROM se WHERE src NOT LIKE 'C:%' UNION SELECT dst, src FROM se WHERE src NOT LIKE 'C:%'), {_reach(chr(39) + 'R:2' + chr(39), 'w', 2, '_x AS (SELECT 1)')} SELECT node, min(depth)::BIGINT AS depth FROM r GROUP BY node HAVING min(depth) > 0",
     "graph_impact": "SELECT 'N:' || n_nationkey AS node, 1::BIGINT AS depth FROM nation WHERE n_regionkey = 1 UNION ALL SELECT 'S:' || s_suppkey, 2 FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE n_regionkey = 1",
     "graph_neighbourhood": "SELECT DISTINCT 'P:' || l_partkey AS node_id, 'CONTAINS' AS type FROM lineitem WHERE l_orderkey = 5 UNION ALL SELECT 'C:' || o_custkey, 'PLACED' FROM orders WHERE o_orderkey = 5",

@@ -63,7 +63,7 @@ def resolution_ranking(spark, sf_dir):
 
 
 def audit_chain(spark, sf_dir):
-    e = _t(spark, sf_dir, "events").where("user_id < 20")
+    e = _t(spark, sf_dir, "events")
     return evidence.chained_hashes(e, "user_id", "event_id", ["event_type"])
 
 
@@ -77,7 +77,7 @@ def slo_report(spark, sf_dir):
 
 def _cases(spark, sf_dir):
     li, o, c, p = (_t(spark, sf_dir, n) for n in ("lineitem", "orders", "customer", "part"))
-    rows = li.where("l_orderkey % 10 = 0").join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(p, li["l_partkey"] == p["p_partkey"])
+    rows = li.join(o, li["l_orderkey"] == o["o_orderkey"]).join(c, o["o_custkey"] == c["c_custkey"]).join(p, li["l_partkey"] == p["p_partkey"])
     features = F.array(F.concat(F.lit("seg:"), "c_mktsegment"), F.concat(F.lit("pri:"), "o_orderpriority"), F.concat(F.lit("status:"), "o_orderstatus"))
     return rows.select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("case_id"), (F.col("c_nationkey") % 5).alias("domain"), F.array(F.col("o_orderkey")).alias("roots"), features.alias("features"),
@@ -112,8 +112,8 @@ def schema_induce(spark, sf_dir):
 
 
 def concept_map(spark, sf_dir):
-    p = _t(spark, sf_dir, "part").where("p_partkey < 60")
-    c = p.select(F.col("p_partkey").alias("concept_id"), (F.col("p_partkey") % 3).alias("domain"), F.array(F.concat(F.lit("r"), (F.col("p_size") % 5).cast("string"))).alias("roles"), F.array("p_brand").alias("outcomes"), F.array(F.substring("p_type", 1, 4)).alias("capabilities"), F.array(F.lit("t")).alias("times"))
+    p = _t(spark, sf_dir, "part")
+    c = p.select(F.col("p_partkey").alias("concept_id"), (F.col("p_partkey") % 3).alias("domain"), F.array(F.concat(F.lit("r"), F.col("p_size").cast("string"), F.lit("/"), (F.col("p_partkey") % 7).cast("string"))).alias("roles"), F.array(F.concat_ws("/", "p_brand", "p_size")).alias("outcomes"), F.array(F.concat_ws("/", "p_type", "p_size")).alias("capabilities"), F.array(F.lit("t")).alias("times"))
     return discovery.map_concepts(c, 0.5).select("left", "right", F.round("score", 4).alias("score"))
 
 
@@ -228,7 +228,7 @@ QUERIES = {
 
 _E = "ev AS (SELECT event_id AS evidence_id, user_id AS relation_id, event_id % 200 AS attempt_id, event_type AS context, CASE event_type WHEN 'purchase' THEN 'Supports' WHEN 'error' THEN 'Contradicts' ELSE 'Neutral' END AS direction, floor(value)::BIGINT * 4294967296 AS utility FROM events)"
 _SUM = f"{_E}, s AS (SELECT relation_id, count(*) AS observations, count(*) FILTER (WHERE direction = 'Supports') AS supports, count(*) FILTER (WHERE direction = 'Contradicts') AS contradictions, count(*) FILTER (WHERE direction = 'Neutral') AS neutral, sum(utility)::BIGINT AS utility_sum, min(evidence_id) AS first_lsn, max(evidence_id) AS last_lsn FROM ev GROUP BY relation_id)"
-_CASES = "k AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS case_id, c_nationkey % 5 AS domain, o_orderkey, 'seg:' || c_mktsegment AS f1, 'pri:' || o_orderpriority AS f2, 'status:' || o_orderstatus AS f3, l_linestatus AS resolution, l_returnflag = 'R' AS success, l_extendedprice AS price, p_size FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey WHERE l_orderkey % 10 = 0)"
+_CASES = "k AS (SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS case_id, c_nationkey % 5 AS domain, o_orderkey, 'seg:' || c_mktsegment AS f1, 'pri:' || o_orderpriority AS f2, 'status:' || o_orderstatus AS f3, l_linestatus AS resolution, l_returnflag = 'R' AS success, l_extendedprice AS price, p_size FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey)"
 _RET = f"exp(-({NOW} - floor(epoch(ts))::BIGINT) / ((event_id % 4 + 1) * (1 + 2 * ((event_id % 10) / 10.0::DOUBLE)) * 86400.0))"
 ORACLE_SQL = {
     "evidence_dedup": f"WITH {_E} SELECT min(evidence_id) AS evidence_id, relation_id, attempt_id, context FROM ev GROUP BY relation_id, attempt_id, context",
@@ -238,13 +238,13 @@ ORACLE_SQL = {
     "metric_utility": "WITH m AS (SELECT o_orderkey, o_totalprice AS b, o_totalprice * (1 + (o_orderkey % 7 - 3) / 10.0::DOUBLE) AS o FROM orders) SELECT o_orderkey, round(o - b, 4) AS absolute, round((b - o) / abs(b), 4) AS relative, round(greatest(-0.2, least(0.1, (o - b) / abs(b))), 4) AS bounded FROM m",
     "independence_report": "SELECT event_type, count(*) AS assertions, count(DISTINCT user_id) AS agents, count(DISTINCT event_id % 13) AS roots FROM events GROUP BY event_type",
     "resolution_ranking": "WITH p AS (SELECT user_id, avg(CASE WHEN event_type IN ('purchase', 'error') THEN (event_type = 'purchase')::INT END) AS s, avg((value > 50)::INT) AS m, max(event_id) AS lsn FROM events GROUP BY user_id) SELECT user_id, round(greatest(0.0, least(1.0, 0.9 * CASE user_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.4 END * (0.5 + 0.5 * coalesce(s, 0.5)) * (0.75 + 0.25 * coalesce(m, 0.25)) / (1 + (10000 - lsn) / 1000.0::DOUBLE))), 5) AS confidence FROM p",
-    "audit_chain": "WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE user_id < 20), h AS (SELECT user_id, event_id, r, sha256('|' || event_id || '|' || event_type) AS hash FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.event_id, e.r, sha256(h.hash || '|' || e.event_id || '|' || e.event_type) FROM h JOIN e ON e.user_id = h.user_id AND e.r = h.r + 1) SELECT user_id, event_id, hash FROM h",
+    "audit_chain": "WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events), h AS (SELECT user_id, event_id, r, sha256('|' || event_id || '|' || event_type) AS hash FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.event_id, e.r, sha256(h.hash || '|' || e.event_id || '|' || e.event_type) FROM h JOIN e ON e.user_id = h.user_id AND e.r = h.r + 1) SELECT user_id, event_id, hash FROM h",
     "slo_report": "SELECT n AS requests, f AS failures, round(1 - f / n::DOUBLE, 6) AS availability, round(f / n::DOUBLE / (1 - 0.99), 4) AS burn, CASE WHEN f / n::DOUBLE / (1 - 0.99) >= 14.4 THEN 'page' WHEN f / n::DOUBLE / (1 - 0.99) >= 6 THEN 'ticket' ELSE 'ok' END AS severity FROM (SELECT count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS f FROM events)",
     "motif_mine": f"WITH {_CASES}, x AS (SELECT domain, resolution, success, unnest([f2, f1, f3, f2 || '|' || f1, f2 || '|' || f3, f1 || '|' || f3, f2 || '|' || f1 || '|' || f3]) AS conditions FROM k), g AS (SELECT conditions, resolution, count(*) FILTER (WHERE success) AS successes, count(*) FILTER (WHERE NOT success) AS contradictions, count(DISTINCT domain) AS domains FROM x GROUP BY ALL) SELECT *, round(successes / (successes + contradictions)::DOUBLE, 5) AS precision FROM g WHERE successes >= 20 AND domains >= 2 ORDER BY successes / (successes + contradictions)::DOUBLE DESC, successes DESC, len(string_split(conditions, '|')), conditions, resolution LIMIT 256",
     "rule_validation": f"WITH {_CASES}, h AS (SELECT *, f1 = 'seg:BUILDING' AS hit FROM k WHERE o_orderkey % 3 = 0 AND resolution = 'F'), p AS (SELECT domain, avg(success::INT) AS p FROM h WHERE hit GROUP BY domain), o AS (SELECT count(*) FILTER (WHERE hit) AS e, count(*) FILTER (WHERE hit AND success) AS s, avg(success::INT) AS b, count(DISTINCT CASE WHEN hit THEN domain END) AS d FROM h) SELECT e AS evaluated, s AS successes, d AS domains, (SELECT count(*) FROM p WHERE p >= 0.8) AS passes, (SELECT count(*) FROM p WHERE p < 0.8) AS failures, round(CASE WHEN e > 0 THEN s / e::DOUBLE ELSE 0 END, 5) AS precision, round(b, 5) AS baseline, round(CASE WHEN e > 0 THEN s / e::DOUBLE ELSE 0 END - b, 5) AS lift, round(CASE WHEN e > 0 THEN 1 - s / e::DOUBLE ELSE 0 END, 5) AS contradiction_ratio FROM o",
     "rule_eval": f"WITH {_CASES}, r AS (SELECT *, f1 = 'seg:BUILDING' AND price > p_size * 1000.0 AS big, f2 IN ('pri:1-URGENT', 'pri:2-HIGH') AS urgent FROM k) SELECT case_id, concat_ws('|', CASE WHEN big THEN 'big' END, CASE WHEN urgent THEN 'urgent' END) AS fired, concat_ws('|', CASE WHEN big THEN 'F' END, CASE WHEN urgent AND f3 = 'status:O' THEN 'O' END) AS proposals, CASE WHEN urgent THEN 'fast' ELSE '' END AS predictions, CASE WHEN big THEN 'large' ELSE '' END AS derived FROM r",
     "schema_induce": "SELECT * FROM (SELECT c_mktsegment AS capabilities, CASE WHEN c_acctbal > 0 THEN 'debtor|party' ELSE 'creditor|party' END AS roles, count(DISTINCT c_nationkey) AS domains, count(DISTINCT c_custkey) AS members, count(DISTINCT c_custkey % 11) AS roots FROM customer GROUP BY 1, 2) WHERE domains >= 3 AND members >= 5 AND roots >= 3",
-    "concept_map": "SELECT * FROM (SELECT a.p_partkey AS left, b.p_partkey AS right, round((4 * (a.p_size % 5 = b.p_size % 5)::INT + 3 * (a.p_brand = b.p_brand)::INT + 2 * (left(a.p_type, 4) = left(b.p_type, 4))::INT + 1) / 10.0::DOUBLE, 4) AS score FROM part a JOIN part b ON a.p_partkey < b.p_partkey AND a.p_partkey % 3 <> b.p_partkey % 3 WHERE a.p_partkey < 60 AND b.p_partkey < 60) WHERE score >= 0.5",
+    "concept_map": "SELECT * FROM (SELECT a.p_partkey AS left, b.p_partkey AS right, round((4 * (a.p_partkey % 7 = b.p_partkey % 7)::INT + 3 * (a.p_brand = b.p_brand)::INT + 2 * (a.p_type = b.p_type)::INT + 1) / 10.0::DOUBLE, 4) AS score FROM part a JOIN part b ON a.p_size = b.p_size AND a.p_partkey < b.p_partkey AND a.p_partkey % 3 <> b.p_partkey % 3) WHERE score >= 0.5",
     "operator_evaluation": "WITH p AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'held' ELSE 'main' END AS role, event_type, ((value > 50) = (event_id % 2 = 0))::INT AS r FROM events), d AS (SELECT role, event_type, avg(r) AS a FROM p GROUP BY ALL) SELECT role, round(avg(r), 5) AS accuracy, round((SELECT min(a) FROM d WHERE d.role = p.role), 5) AS worst_domain, round(avg((0.6::DOUBLE - r) ** 2), 5) AS calibration FROM p GROUP BY role",
     "preference_pairs": "WITH a AS (SELECT user_id AS prompt, event_id AS answer, round(value, 3) AS score, row_number() OVER (PARTITION BY user_id ORDER BY round(value, 3) DESC, event_id DESC) AS b, row_number() OVER (PARTITION BY user_id ORDER BY round(value, 3), event_id) AS w FROM events) SELECT x.prompt, x.answer AS chosen, y.answer AS rejected, round(x.score - y.score, 3) AS margin FROM a x JOIN a y ON x.prompt = y.prompt AND x.b = 1 AND y.w = 1 WHERE x.score > y.score",
     "causal_pairs": "SELECT a.event_type AS cause, b.event_type AS effect, count(*) AS support FROM events a JOIN events b ON b.event_id = a.event_id + 1 GROUP BY ALL HAVING count(*) >= 50",

@@ -89,7 +89,7 @@ def entity_current(spark, sf_dir):
 
 
 def entity_history(spark, sf_dir):
-    return _versions(spark, sf_dir).where("o_custkey <= 100").select("o_custkey", "o_orderkey", "valid_from", F.coalesce("valid_until", F.lit(versions.OPEN)).alias("valid_until"))
+    return _versions(spark, sf_dir).select("o_custkey", "o_orderkey", "valid_from", F.coalesce("valid_until", F.lit(versions.OPEN)).alias("valid_until"))
 
 
 def status_violations(spark, sf_dir):
@@ -223,7 +223,7 @@ ORACLE_SQL = {
     "insert_rejected": "SELECT c_custkey FROM customer WHERE c_nationkey < 5",
     "entity_as_of": f"WITH {_V} SELECT o_custkey, o_orderkey, valid_from FROM v WHERE valid_from <= 3 AND (valid_until IS NULL OR 3 < valid_until)",
     "entity_current": f"WITH {_V} SELECT o_custkey, o_orderkey, valid_from FROM v WHERE valid_until IS NULL",
-    "entity_history": f"WITH {_V} SELECT o_custkey, o_orderkey, valid_from, coalesce(valid_until, 9223372036854775807) AS valid_until FROM v WHERE o_custkey <= 100",
+    "entity_history": f"WITH {_V} SELECT o_custkey, o_orderkey, valid_from, coalesce(valid_until, 9223372036854775807) AS valid_until FROM v",
     "status_violations": f"WITH {_V} SELECT a.o_custkey, a.valid_from, a.o_orderstatus AS before, b.o_orderstatus AS after FROM v a JOIN v b ON a.o_custkey = b.o_custkey AND a.valid_until = b.valid_from WHERE a.o_orderstatus <> b.o_orderstatus AND (a.o_orderstatus, b.o_orderstatus) NOT IN (('O', 'P'), ('P', 'F'))",
     "rel_role_query": "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS relation_id FROM lineitem WHERE l_suppkey = 7 AND l_linestatus = 'F'",
     "rel_hyperpattern": "SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey || '-' || l_suppkey AS relation_id, 'O:' || l_orderkey AS o, 'P:' || l_partkey AS p FROM (SELECT DISTINCT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem) WHERE l_suppkey = 5",

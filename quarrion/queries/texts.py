@@ -42,7 +42,7 @@ def _dense(spark, sf_dir):
 
 
 def _lexical(spark, sf_dir):
-    return retrieval.bm25_scores(_plain(spark, sf_dir).where("id < 500"), TERMS)
+    return retrieval.bm25_scores(_plain(spark, sf_dir), TERMS)
 
 
 def hybrid_rrf(spark, sf_dir):
@@ -99,8 +99,8 @@ def cjk_pairs(spark, sf_dir):
 
 def _markdown(spark, sf_dir):
     """Documents as markdown: every third line a heading, every fourth a note."""
-    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("# "), F.substring(x, 1, 20))).when(i % 4 == 1, F.concat(F.lit("NOTE "), F.substring(x, 1, 20))).otherwise(x))
-    return _docs(spark, sf_dir).where("doc_id < 200 and length(text) > 0").select("doc_id", F.array_join(lines, "\n").alias("text"))
+    lines = F.transform(F.split("text", "\n"), lambda x, i: F.when(i % 3 == 0, F.concat(F.lit("# "), x)).when(i % 4 == 1, F.concat(F.lit("NOTE "), x)).otherwise(x))
+    return _docs(spark, sf_dir).where("length(text) > 0").select("doc_id", F.array_join(lines, "\n").alias("text"))
 
 
 def context_claims(spark, sf_dir):
@@ -121,7 +121,7 @@ def reference_resolution(spark, sf_dir):
 
 
 def snapshot_diff(spark, sf_dir):
-    d = _docs(spark, sf_dir).select("doc_id", F.substring("text", 1, 30).alias("head"))
+    d = _docs(spark, sf_dir).select("doc_id", F.col("text").alias("head"))
     after = d.where("doc_id % 7 <> 0").withColumn("head", F.when(F.col("doc_id") % 5 == 0, F.lit("changed")).otherwise(F.col("head"))).unionByName(d.where("doc_id < 10").withColumn("doc_id", F.col("doc_id") - 1000))
     return context.diff(d, after, "doc_id", ["head"])
 
@@ -169,7 +169,7 @@ def _bm25(source: str) -> str:
 
 _COS = "list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE)) / sqrt(list_sum(list_transform(e.embedding, lambda x: x::DOUBLE * x::DOUBLE)) * list_sum(list_transform(q.embedding, lambda x: x::DOUBLE * x::DOUBLE)))"
 _DOT = "list_sum(list_transform(range(1, 65), lambda i: q.embedding[i]::DOUBLE * e.embedding[i]::DOUBLE))"
-_HYBRID = f"WITH {_P}, p5 AS (SELECT * FROM p WHERE id < 500), {_bm25('p5')}, den AS (SELECT e.vec_id AS id, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, id LIMIT 20), l AS (SELECT * FROM lex ORDER BY score DESC, id LIMIT 20)"
+_HYBRID = f"WITH {_P}, {_bm25('p')}, den AS (SELECT e.vec_id AS id, {_COS} AS score FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 0) q ORDER BY score DESC, id LIMIT 20), l AS (SELECT * FROM lex ORDER BY score DESC, id LIMIT 20)"
 _STEM = "CASE WHEN w LIKE '%sses' OR w LIKE '%ies' THEN left(w, length(w) - 2) WHEN w LIKE '%ing' AND length(w) > 5 THEN left(w, length(w) - 3) WHEN w LIKE '%ed' AND length(w) > 4 THEN left(w, length(w) - 2) WHEN w LIKE '%s' AND w NOT LIKE '%ss' AND length(w) > 3 THEN left(w, length(w) - 1) ELSE w END"
 ORACLE_SQL = {
     "bm25_topk": f"WITH {_P}, {_bm25('p')} SELECT id, round(score, 5) AS score FROM (SELECT * FROM lex ORDER BY score DESC, id LIMIT 10)",
@@ -181,10 +181,10 @@ ORACLE_SQL = {
     "stem_terms": rf"WITH t AS (SELECT DISTINCT unnest(list_filter(regexp_split_to_array(lower(p_name || ' ' || p_type), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '')) AS w FROM part) SELECT w, {_STEM} AS stem FROM t WHERE w NOT IN ('the', 'is', 'are', 'at', 'which', 'on', 'and', 'a', 'an', 'in', 'to', 'for', 'of', 'with')",
     "fuzzy_terms": "SELECT n_name, levenshtein(lower(n_name), 'nation_4') AS d FROM nation WHERE levenshtein(lower(n_name), 'nation_4') <= 2",
     "cjk_pairs": "SELECT r_name, array_to_string(list_transform(range(1, length(replace(r_name, ' ', ''))), lambda i: substr(replace(r_name, ' ', ''), i, 2)), '|') AS pairs FROM region",
-    "context_claims": "WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS x FROM documents WHERE doc_id < 200 AND length(text) > 0), m AS (SELECT doc_id, i, CASE WHEN i % 3 = 0 AND trim(left(x, 20)) <> '' THEN 'section' WHEN i % 3 <> 0 AND i % 4 = 1 THEN 'note' END AS kind FROM l) SELECT doc_id, count(*) FILTER (WHERE kind = 'section') AS sections, count(*) FILTER (WHERE kind = 'note') AS notes, count(*) AS placed FROM m WHERE kind IS NOT NULL GROUP BY doc_id",
+    "context_claims": "WITH l AS (SELECT doc_id, unnest(range(0, len(string_split(text, chr(10))))) AS i, unnest(string_split(text, chr(10))) AS x FROM documents WHERE length(text) > 0), m AS (SELECT doc_id, i, CASE WHEN i % 3 = 0 AND trim(x) <> '' THEN 'section' WHEN i % 3 <> 0 AND i % 4 = 1 THEN 'note' END AS kind FROM l) SELECT doc_id, count(*) FILTER (WHERE kind = 'section') AS sections, count(*) FILTER (WHERE kind = 'note') AS notes, count(*) AS placed FROM m WHERE kind IS NOT NULL GROUP BY doc_id",
     "context_search": "WITH n AS (SELECT 'C:' || c_custkey AS id, c_mktsegment AS l FROM customer UNION ALL SELECT 'O:' || o_orderkey, o_orderpriority FROM orders UNION ALL SELECT 'P:' || p_partkey, p_brand FROM part UNION ALL SELECT 'S:' || s_suppkey, s_name FROM supplier UNION ALL SELECT 'N:' || n_nationkey, n_name FROM nation UNION ALL SELECT 'R:' || r_regionkey, r_name FROM region), s AS (SELECT id, CASE WHEN lower(l) = 'asia' THEN 10.0::DOUBLE WHEN contains(lower(l), 'asia') THEN 4 ELSE 0 END + CASE WHEN lower(l) = 'region' THEN 10.0::DOUBLE WHEN contains(lower(l), 'region') THEN 4 ELSE 0 END AS score FROM n) SELECT id, score FROM s WHERE score > 0 ORDER BY score DESC, id LIMIT 10",
     "reference_resolution": "SELECT n_nationkey AS ref_id, CASE WHEN n_nationkey % 2 = 0 THEN 'resolved' ELSE 'unresolved' END AS state, CASE WHEN n_nationkey % 2 = 0 THEN 0.95::DOUBLE ELSE 0 END AS confidence, CASE WHEN n_nationkey % 2 = 0 THEN 1::BIGINT ELSE 0 END AS n FROM nation",
-    "snapshot_diff": "WITH a AS (SELECT doc_id, left(text, 30) AS h FROM documents), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'changed' ELSE h END AS h FROM a WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id - 1000, h FROM a WHERE doc_id < 10) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.h IS NOT DISTINCT FROM b.h THEN 'unchanged' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.doc_id = b.doc_id",
+    "snapshot_diff": "WITH a AS (SELECT doc_id, text AS h FROM documents), b AS (SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'changed' ELSE h END AS h FROM a WHERE doc_id % 7 <> 0 UNION ALL SELECT doc_id - 1000, h FROM a WHERE doc_id < 10) SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, CASE WHEN a.doc_id IS NULL THEN 'added' WHEN b.doc_id IS NULL THEN 'deleted' WHEN a.h IS NOT DISTINCT FROM b.h THEN 'unchanged' ELSE 'modified' END AS change FROM a FULL JOIN b ON a.doc_id = b.doc_id",
     "manifest_diff": "SELECT CASE WHEN doc_id % 10 = 3 AND upper(text) <> text THEN 'modified' ELSE 'unchanged' END AS change, count(*) AS n FROM documents GROUP BY 1",
     "json_keys": "SELECT 'k' AS key, 'number' AS type, count(*) AS n FROM events",
     "code_symbols": "SELECT * FROM (VALUES ('a/box.py', 2::BIGINT, 'class', 'Box', false), ('a/box.py', 3, 'def', 'size', false), ('a/box.py', 6, 'def', 'test_size', true), ('a/lib.rs', 0, 'fn', 'area', false)) t(path, line, kind, name, is_test)",

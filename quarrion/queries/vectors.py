@@ -34,7 +34,7 @@ def vec_topk_filtered(spark, sf_dir):
 
 def vec_batch_topk(spark, sf_dir):
     v = _vectors(spark, sf_dir)
-    queries = v.where("vec_id < 20").select(F.col("vec_id").alias("query_id"), "embedding")
+    queries = v.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
     return batch_top_k(v, queries, 5).select("query_id", "vec_id", F.round("score", 5).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -152,7 +152,7 @@ _D8 = "sqrt(list_sum(list_transform(range(1, 9), lambda i: (x.coords[i]::DOUBLE
 ORACLE_SQL = {
     **{f"vec_topk_{m}": _topk_sql(s) for m, s in _SCORES.items()},
     "vec_topk_filtered": _topk_sql(COSINE, "e.label IN (1, 3, 5, 7)"),
-    "vec_batch_topk": f"SELECT query_id, vec_id, round(s, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {COSINE} AS s FROM embeddings e, embeddings q WHERE q.vec_id < 20)) WHERE rank <= 5",
+    "vec_batch_topk": f"SELECT query_id, vec_id, round(s, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {COSINE} AS s FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)) WHERE rank <= 5",
     "vec_rerank_recency": f"WITH b AS (SELECT e.vec_id, {COSINE} AS s, {_PHASE} AS p FROM embeddings e, {_Q} ORDER BY s DESC, e.vec_id LIMIT 30) SELECT vec_id, round(t, 5) AS score FROM (SELECT vec_id, s + exp(-0.1 * (1000.0 - vec_id)) * 0.25 + p * 0.15 AS t FROM b) ORDER BY t DESC, vec_id LIMIT 10",
     "vec_metrics": f"SELECT e.vec_id, round({DOT}, 4) + 0.0 AS inner, round({COSINE}, 4) + 0.0 AS cosine, round(1 - {COSINE}, 4) + 0.0 AS cosine_distance, round({_EUCLID}, 4) + 0.0 AS euclidean, round({_OVERLAP}, 4) + 0.0 AS overlap, round(sqrt({_NE}), 4) + 0.0 AS norm, round({_PHASE}, 4) + 0.0 AS phase FROM embeddings e, {_Q}",
     "vec_polar": f"SELECT e.vec_id, round(sqrt(e.embedding[1]::DOUBLE ** 2 + e.embedding[2]::DOUBLE ** 2), 4) AS amplitude, round(atan2(e.embedding[2]::DOUBLE, e.embedding[1]::DOUBLE), 4) AS phase, round(list_max(e.embedding)::DOUBLE / sqrt({_NE}), 4) AS largest FROM embeddings e",
