@@ -24,6 +24,11 @@ def _cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df with its lineage cut, for what is read several times."""
+    return _cut(df)
+
+
 def _rounds(most: int | None) -> Iterable[int]:
     """1, 2, ... up to `most`, where that is part of the question, or without an end."""
     return itertools.count(1) if most is None else range(1, most + 1)

@@ -291,3 +291,87 @@ def test_hashed_embeddings_finds_long_documents(spark, tmp_path):
     rows = [(1, "alpha beta gamma"), (2, "alpha beta gamma " * 100), (3, "delta epsilon")]
     spark.createDataFrame([(i, t, len(t)) for i, t in rows], "doc_id long, text string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
     assert {r["doc_id"] for r in hashed_embeddings(spark, str(tmp_path)).collect()} == {1, 2, 3}
+
+
+def _people(spark):
+    from quarrion.plans.graph_language import Graph
+
+    n = spark.createDataFrame([("a", ["P"], 1), ("b", ["P"], 2), ("c", ["Q"], 3)], "node_id string, labels array<string>, age int")
+    e = spark.createDataFrame([("a", "b", "K", 1.0), ("a", "c", "K", 5.0), ("b", "a", "L", 2.0)], "src string, dst string, type string, weight double")
+    return Graph(n, e), n, e
+
+
+def test_graph_edges_with_names_and_optional_ends(spark):
+    from quarrion.plans.graph_language import QueryError
+
+    g, _, _ = _people(spark)
+    rows = lambda q: sorted(map(tuple, g.run(q).collect()), key=str)
+    assert rows("MATCH (a)-[:K]->(b) OPTIONAL MATCH (b)-[:Z]->(a) RETURN a, b") == [("a", "b"), ("a", "c")]
+    assert rows("MATCH (a)-[:K]->(b) OPTIONAL MATCH (b)-[r:L]->(a) RETURN b, r.weight") == [("b", 2.0), ("c", None)]
+    assert rows("MATCH (a:P), (b:Q) OPTIONAL MATCH (a)-[r:K]->(b) RETURN a, b, r.weight") == [("a", "c", 5.0), ("b", "c", None)]
+    assert rows("MATCH (a)-[r:K]->(b) WHERE r.weight > 2 RETURN a, r") == [("a", ("a", "K", "c"))]
+    assert rows("MATCH (a)-[r {weight: 1.0}]-(b) RETURN a, b, r.type") == [("a", "b", "K"), ("b", "a", "K")]
+    for bad in ("MATCH (a)-[r:K*1..2]->(b) RETURN r", "MATCH (a)-[a:K]->(b) RETURN a", "MATCH (a) RETURN b"):
+        with pytest.raises(QueryError):
+            g.run(bad)
+    for bad in ("MATCH (a) DELETE b", "CREATE (a)-[:X]-(b)", "MATCH (a)", "CREATE (a:P)"):
+        with pytest.raises(QueryError):
+            g.mutate(bad, 1)
+
+
+def test_graph_mutations(spark):
+    from quarrion.operators import mutations
+
+    g, n, e = _people(spark)
+    log = mutations.created(n, e)
+    for lsn, text in enumerate(("CREATE (n:P:New {node_id: 'z', age: 7}), (n)-[:K {weight: 2}]->(m:Q {node_id: 'y'})", "MATCH (a:P) WHERE a.age = 2 DELETE a", "MATCH (a:P)-[r:K]->(c:Q) SET a.old = $v, a:Senior, r.since = 9 REMOVE a.age, a:P", "CREATE (b:P {node_id: 'b'})", "CREATE (b:P {node_id: 'b'})"), 1):
+        log = log.unionByName(g.mutate(text, lsn, v=9))
+    nodes = {r["node_id"]: (r["labels"], r["props"]) for r in mutations.nodes(log).collect()}
+    assert nodes == {"a": (["Senior"], {"old": "9"}), "b": (["P"], {}), "c": (["Q"], {"age": "3"}), "z": (["New", "P"], {"age": "7"}), "y": (["Q"], {})}
+    # the edges of b went with it and stay away when a node of its name comes back
+    assert {(r["src"], r["dst"]): r["props"] for r in mutations.edges(log).collect()} == {("a", "c"): {"weight": "5.0", "since": "9"}, ("z", "y"): {"weight": "2"}}
+    assert [(r["lsn"], r["reason"]) for r in mutations.rejected(log).collect()] == [(5, "exists already")]
+    assert mutations.nodes(log, 0).count() == 3 and mutations.nodes(log.limit(0)).count() == 0
+
+
+def test_state_machines(spark):
+    from quarrion.operators import lifecycle
+
+    log = spark.createDataFrame([(1, 1, "create"), (1, 2, "create"), (1, 3, "tombstone"), (1, 4, "version"), (None, 1, "version"), (None, 2, "create")], "k int, lsn int, op string")
+    got = {(r["k"], r["lsn"]): (r["after"], r["accepted"]) for r in lifecycle.machine(log, "k", ["lsn"], "op", lifecycle.ENTITY).collect()}
+    assert got == {(1, 1): ("live", True), (1, 2): ("live", False), (1, 3): ("dead", True), (1, 4): ("dead", False), (None, 1): ("none", False), (None, 2): ("live", True)}
+    seq = spark.createDataFrame([("c", i, n) for i, n in enumerate([1, 2, 2, 9, 5, None, 6])], "c string, i int, n int")
+    assert [r["accepted"] for r in lifecycle.sequenced(seq, "c", "n", ["i"], 3).orderBy("i").collect()] == [True, True, False, False, True, False, True]
+    assert lifecycle.machine(log.limit(0), "k", ["lsn"], "op", lifecycle.ENTITY).count() == 0
+
+
+def test_cycles_by_colours(spark):
+    import random
+
+    rng = random.Random(4)
+    for n, m in ((12, 20), (30, 40), (5, 0)):
+        pairs = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)} | ({(i, i + 1) for i in range(100, 170)} | {(170, 100)} if n == 12 else set())
+        reach = {x: {y for a, y in pairs if a == x} for p in pairs for x in p}
+        while True:
+            more = {x: ys.union(*(reach[y] for y in ys)) if ys else ys for x, ys in reach.items()}
+            if more == reach:
+                break
+            reach = more
+        want = {(x, min(group)) for x in reach if len(group := {y for y in reach if y == x or (y in reach[x] and x in reach[y])}) > 1}
+        got = graph.cycles(spark.createDataFrame(list(pairs), "src int, dst int"))
+        assert {tuple(r) for r in got.collect()} == want
+
+
+def test_no_queries(spark):
+    from quarrion.operators.search import batch_top_k
+
+    v = spark.createDataFrame([(1, [1.0, 0.0])], "vec_id long, embedding array<double>")
+    assert batch_top_k(v, v.limit(0).withColumnRenamed("vec_id", "query_id"), 3).count() == 0
+
+
+def test_checkpoint_digests(spark):
+    from quarrion.operators import governance
+
+    t = {"a": spark.range(3).toDF("x"), "b": spark.range(2).toDF("x")}
+    taken = governance.digests(t)
+    assert governance.verified(t, taken) == [] and governance.verified({"a": t["a"], "b": t["a"]}, taken) == ["b"] and governance.verified({"a": t["a"]}, taken) == ["b"]
