@@ -5,9 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, written
+from .common import discard, joined_by_key, written
 
 MAX_ROUNDS = 60
+#: Links from which on a centre with many links may be too much for a task, so that its rows are spread; below it joins are plain.
+SPREAD_LINKS = 10_000
+
+
+def _with_least(rows: DataFrame, least: DataFrame, key: str, other: str, held: list[DataFrame] | None) -> DataFrame:
+    """rows joined with least (key, m, c); if held is a list, the rows of a centre with many links aren't in one task."""
+    if held is None:
+        return rows.join(least.drop("c"), key)
+    held.append(written(least, "least"))
+    return joined_by_key(rows, held[-1], [key], other)
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -24,14 +34,19 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         # large star: every larger neighbour of an id is linked with the id's smallest neighbour
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        held = [] if before[0] >= SPREAD_LINKS else None
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count_if(F.col("v") > F.col("u")).alias("c"))
+        large = _with_least(both.where("v > u"), least, "u", "v", held).select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        if held is not None:
+            large = written(large, "large")
+            held.append(large)
         # small star: an id and its smaller neighbours are linked with the smallest of them
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("c"))
+        small = _with_least(large, least, "a", "b", held).select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         new = written(small.where("a <> b").distinct(), "links")
         after = _state(new)
-        discard(edges)
+        for table in (edges, *(held or ())):
+            discard(table)
         edges = new
         if after == before:
             break

@@ -716,9 +716,11 @@ def test_spark_hash(spark):
     assert jaccard_join._xxhash64(np.array(values, np.int64)).view(np.int64).tolist() == want
 
 
-def test_components(spark):
+@pytest.mark.parametrize("bar", [0, 10_000])
+def test_components(spark, monkeypatch, bar):
+    monkeypatch.setattr(components, "SPREAD_LINKS", bar)
     rng = random.Random(7)
-    links = [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)]
+    links = [(500, i) for i in range(501, 900)] + [(i, 950) for i in range(600, 800)] + [(rng.randrange(200), rng.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 360)]
     parent = {}
 
     def root(i):
