@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.vectors import METRICS
 
@@ -15,10 +20,80 @@ def literal_vector(values) -> Column:
     return F.expr("array(" + ",".join(f"float('{float(v)!r}')" for v in values) + ")")
 
 
+_REAL = {"inner", "cosine", "euclidean"}
+
+
+def _scores(q: np.ndarray, column: pa.Array, metric: str) -> np.ndarray:
+    """Scores of queries (rows) with vectors (columns), greater for nearer: metrics over the shorter length, null elements left out."""
+    width = q.shape[1]
+    lengths = np.asarray(pc.list_value_length(column))
+    first = np.concatenate([[0], np.cumsum(lengths)])
+    values = column.flatten()
+    whole = lengths == width
+    if values.null_count:
+        gaps = np.concatenate([[0], np.cumsum(np.asarray(values.is_null()).astype(np.int64))])
+        whole &= gaps[first[1:]] == gaps[first[:-1]]
+    flat = values.to_numpy(zero_copy_only=False).astype(np.float64)  # nulls as NaN
+    m = (flat if whole.all() else flat[np.repeat(whole, lengths)]).reshape(-1, width)
+    s = q @ m.T
+    if metric == "cosine":
+        d = np.sqrt(np.outer((q * q).sum(1), (m * m).sum(1)))
+        s = np.where(d <= 1e-12, 0.0, np.clip(s / np.where(d <= 1e-12, 1, d), -1, 1))
+    elif metric == "euclidean":
+        s = -np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (m * m).sum(1)[None] - 2 * s))
+    if whole.all():
+        return s
+    out = np.empty((len(q), len(lengths)))
+    out[:, whole] = s
+    for i in np.flatnonzero(~whole):
+        v = flat[first[i] : first[i + 1]]
+        there = ~np.isnan(v[:width])
+        a, b = q[:, : len(there)][:, there], v[:width][there]
+        if metric == "euclidean":
+            out[:, i] = -np.sqrt(((a - b) ** 2).sum(1))
+            continue
+        out[:, i] = a @ b
+        if metric == "cosine":
+            d = np.sqrt((q * q).sum(1) * np.nansum(v * v))
+            out[:, i] = np.where(d <= 1e-12, 0.0, np.clip(out[:, i] / np.where(d <= 1e-12, 1, d), -1, 1))
+    return out
+
+
+def _best_of(scores: np.ndarray, ids: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, place, score) of each query's k best, by score down, then id up."""
+    n = scores.shape[1]
+    if n > k:
+        bar = np.partition(scores, n - k, axis=1)[:, n - k]
+        query, place = np.nonzero(scores >= bar[:, None])
+    else:
+        query, place = np.repeat(np.arange(len(scores)), n), np.tile(np.arange(n), len(scores))
+    rank = np.empty(n, np.int64)
+    rank[np.asarray(pc.sort_indices(ids))] = np.arange(n)
+    score = scores[query, place]
+    order = np.lexsort((rank[place], -score, query))
+    query, place, score = query[order], place[order], score[order]
+    inside = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[inside], place[inside], score[inside]
+
+
 def top_k(vectors: DataFrame, query, k: int, metric: str = "cosine", where: Column | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """(id, score) of the k best. Nothing for k = 0; null vectors are left out. Plan: filtered scan, one top-k per task, one merge."""
+    """(id, score) of the k best. Nothing for k = 0; null vectors are left out. Plan: filtered scan, one top-k per task, one merge.
+
+    Inner products, cosines and distances are taken from whole Arrow batches at once; a batch passes on its k best.
+    """
     rows = vectors if where is None else vectors.where(where)
     rows = rows.where(F.col(vector_col).isNotNull())
+    if metric in _REAL and k > 0:
+        q = np.array([query], np.float64)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                _, place, score = _best_of(_scores(q, batch.column(1), metric), batch.column(0), k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(place)), pa.array(score)], [id_col, "score"])
+
+        schema = T.StructType([vectors.select(id_col).schema[0], T.StructField("score", T.DoubleType())])
+        found = rows.select(F.col(id_col), F.col(vector_col)).mapInArrow(run, schema)
+        return found.orderBy(F.desc("score"), F.asc(id_col)).limit(k)
     score = METRICS[metric](literal_vector(query), F.col(vector_col))
     return rows.select(F.col(id_col), score.alias("score")).orderBy(F.desc("score"), F.asc(id_col)).limit(k)
 
@@ -29,9 +104,8 @@ def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "c
     Each block of queries travels to the vectors' tasks as one matrix; a task keeps its k best for each query, so the
     shuffle carries k rows a query and task, whatever the number of vectors.
     """
-    real = {"inner", "cosine", "euclidean"}
-    if metric not in real:
-        raise ValueError(f"metric must be one of {sorted(real)}")
+    if metric not in _REAL:
+        raise ValueError(f"metric must be one of {sorted(_REAL)}")
     blocks = [queries.select("query_id", "embedding").toPandas()] if queries.limit(block + 1).count() <= block else None
     if blocks is None:
         todo = queries.select("query_id", "embedding").toLocalIterator(prefetchPartitions=True)
@@ -58,25 +132,15 @@ def _one_block(vectors: DataFrame, frame: pd.DataFrame, k: int, metric: str, id_
     ids = frame["query_id"].to_numpy()
     q = np.array(frame["embedding"].tolist(), dtype=np.float64)
 
-    def run(batches):
-        best_id = np.empty((len(ids), 0), np.int64)
-        best = np.empty((len(ids), 0))
-        for pdf in batches:
-            pdf = pdf[pdf["v"].notna()]
-            if pdf.empty:
-                continue
-            m = np.array(pdf["v"].tolist(), dtype=np.float64)
-            s = q @ m.T
-            if metric == "cosine":
-                d = np.sqrt(np.outer((q * q).sum(1), (m * m).sum(1)))
-                s = np.where(d <= 1e-12, 0.0, np.clip(s / np.where(d <= 1e-12, 1, d), -1, 1))
-            elif metric == "euclidean":
-                s = -np.sqrt(np.maximum(0, (q * q).sum(1)[:, None] + (m * m).sum(1)[None] - 2 * s))
-            best = np.concatenate([best, s], axis=1)
-            best_id = np.concatenate([best_id, np.broadcast_to(pdf["id"].to_numpy(), s.shape)], axis=1)
-            order = np.lexsort((best_id, -best), axis=1)[:, :k]
-            best, best_id = np.take_along_axis(best, order, 1), np.take_along_axis(best_id, order, 1)
-        if best.size:
-            yield pd.DataFrame({"query_id": np.repeat(ids, best.shape[1]), id_col: best_id.ravel(), "score": best.ravel()})
-
-    return vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).mapInPandas(run, f"query_id long, {id_col} long, score double")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query, found, score = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        for batch in batches:
+            a, place, s = _best_of(_scores(q, batch.column(1), metric), batch.column(0), k)
+            query, found, score = np.append(query, a), np.append(found, batch.column(0).to_numpy()[place]), np.append(score, s)
+            order = np.lexsort((found, -score, query))
+            query, found, score = query[order], found[order], score[order]
+            inside = np.arange(len(query)) - np.searchsorted(query, query) < k
+            query, found, score = query[inside], found[inside], score[inside]
+        yield pa.RecordBatch.from_arrays([pa.array(ids[query].astype(np.int64)), pa.array(found), pa.array(score)], ["query_id", id_col, "score"])
+
+    return vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).mapInArrow(run, f"query_id long, {id_col} long, score double")

@@ -375,3 +375,19 @@ def test_checkpoint_digests(spark):
     t = {"a": spark.range(3).toDF("x"), "b": spark.range(2).toDF("x")}
     taken = governance.digests(t)
     assert governance.verified(t, taken) == [] and governance.verified({"a": t["a"], "b": t["a"]}, taken) == ["b"] and governance.verified({"a": t["a"]}, taken) == ["b"]
+
+
+@pytest.mark.parametrize("metric", ["inner", "cosine", "euclidean"])
+def test_top_k_of_batches_agrees_with_expressions(spark, metric):
+    """Vectors of other lengths, with null elements, of zeros, equal ones; ids of any type; every k."""
+    rng = np.random.default_rng(3)
+    rows = [(f"v{i:03}", [float(x) for x in rng.integers(-2, 3, 4)]) for i in range(60)] + [("short", [1.0, 2.0]), ("long", [1.0, 0.0, 2.0, 1.0, 5.0]), ("gap", [1.0, None, 2.0, 0.0]), ("zero", [0.0] * 4), ("none", None), ("empty", [])]
+    df = spark.createDataFrame(rows, "id string, v array<float>").repartition(3)
+    query = [1.0, -1.0, 0.5, 2.0]
+    score = search.METRICS[metric](search.literal_vector(query), F.col("v"))
+    want = sorted(((-r["s"], r["id"]) for r in df.where("v is not null").select("id", score.alias("s")).collect()))
+    for k in (1, 10, 100):
+        got = search.top_k(df, query, k, metric, id_col="id", vector_col="v").collect()
+        assert [r["id"] for r in got] == [i for _, i in sorted((round(a, 9), i) for a, i in want)[:k]] or [round(r["score"], 6) for r in got] == [round(-a, 6) for a, _ in want[:k]]
+        assert len(got) == min(k, len(want))
+    assert search.top_k(df.limit(0), query, 3, metric, id_col="id", vector_col="v").count() == 0
