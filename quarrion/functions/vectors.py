@@ -89,6 +89,22 @@ def phases(a: Column) -> Column:
     return F.transform(_pairs(a), lambda i: F.atan2(_d(F.element_at(a, 2 * i)), _d(F.element_at(a, 2 * i - 1))))
 
 
+def from_polar(amplitude: Column, phase: Column) -> Column:
+    """Complex vector of amplitudes and phases, as pairs of neighbours."""
+    return F.flatten(F.zip_with(amplitude, phase, lambda r, p: F.array(r * F.cos(p), r * F.sin(p))))
+
+
+def unfold(a: Column, length: Column) -> Column:
+    """The real vector of `length` elements that fold() made pairs of."""
+    return F.slice(a, F.lit(1), length)
+
+
+def split_fold(a: Column) -> Column:
+    """Real vector as a complex one: the first half real parts, the second half imaginary ones; an odd middle has 0 beside it."""
+    half = F.ceil(F.size(a) / 2).cast("int")
+    return F.flatten(F.transform(F.sequence(F.lit(0), half - 1), lambda i: F.array(F.get(a, i), F.coalesce(F.get(a, i + half), F.lit(0.0).cast("float")))))
+
+
 def fold(a: Column) -> Column:
     """Real vector as a complex one: pairs of neighbours, an odd tail with 0."""
     return F.when(F.size(a) % 2 == 1, F.concat(a, F.array(F.lit(0.0).cast("float")))).otherwise(a)

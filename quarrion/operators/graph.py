@@ -134,6 +134,14 @@ def cardinality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return per.crossJoin(F.broadcast(total)).select("type", "edges", (F.col("edges") / F.col("total")).alias("share"), (F.col("edges") / F.col("sources")).alias("avg_out"))  # one row
 
 
+def label_shares(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(label, nodes, share, most_out): selectivity of each label and the greatest out-degree among its nodes."""
+    total = nodes.agg(F.count("*").alias("total"))
+    out = edges.groupBy(F.col("src").alias("node_id")).agg(F.count("*").alias("d"))
+    per = nodes.select("node_id", F.explode("labels").alias("label")).join(out, "node_id", "left").groupBy("label").agg(F.countDistinct("node_id").alias("nodes"), F.coalesce(F.max("d"), F.lit(0)).alias("most_out"))
+    return per.crossJoin(F.broadcast(total)).select("label", "nodes", (F.col("nodes") / F.col("total")).alias("share"), "most_out")  # one row
+
+
 def hubs(nodes: DataFrame, edges: DataFrame, k: int = 10) -> DataFrame:
     return degrees(nodes, edges).select("node_id", "out_degree").orderBy(F.desc("out_degree"), "node_id").limit(k)
 

@@ -128,6 +128,10 @@ def graph_stats(spark, sf_dir):
     return graph.cardinality(nodes(spark, sf_dir), edges(spark, sf_dir)).select("type", "edges", F.round("share", 6).alias("share"), F.round("avg_out", 6).alias("avg_out"))
 
 
+def graph_label_stats(spark, sf_dir):
+    return graph.label_shares(nodes(spark, sf_dir), edges(spark, sf_dir)).select("label", "nodes", F.round("share", 6).alias("share"), "most_out")
+
+
 def graph_hubs(spark, sf_dir):
     return graph.hubs(nodes(spark, sf_dir), edges(spark, sf_dir), 10)
 
@@ -227,6 +231,7 @@ ORACLE_SQL = {
     "graph_centrality": f"WITH {_DEG} SELECT node_id, round((out_degree + in_degree)::DOUBLE / ((SELECT count(*) FROM sn) - 1), 6) AS centrality FROM d",
     "graph_degree_stats": f"WITH {_DEG} SELECT " + ", ".join(f"round({f}({c})::DOUBLE, 6) AS {f}_{c}" for c in ("out_degree", "in_degree") for f in ("min", "max", "avg")) + " FROM d",
     "graph_stats": f"WITH {_E} SELECT type, count(*) AS edges, round(count(*)::DOUBLE / (SELECT count(*) FROM e), 6) AS share, round(count(*)::DOUBLE / count(DISTINCT src), 6) AS avg_out FROM e GROUP BY type",
+    "graph_label_stats": f"WITH {_E}, {_N}, d AS (SELECT src, count(*) AS d FROM e GROUP BY src) SELECT label, count(*) AS nodes, round(count(*)::DOUBLE / (SELECT count(*) FROM n), 6) AS share, coalesce(max(d), 0)::BIGINT AS most_out FROM n LEFT JOIN d ON src = node_id GROUP BY label",
     "graph_hubs": f"WITH {_E} SELECT src AS node_id, count(*) AS out_degree FROM e GROUP BY src ORDER BY 2 DESC, 1 LIMIT 10",
     "graph_orphans": f"WITH {_N} SELECT node_id FROM n WHERE node_id NOT IN (SELECT 'C:' || o_custkey FROM orders UNION SELECT 'O:' || o_orderkey FROM orders)",
     "graph_bfs": f"WITH RECURSIVE {_SMALL}, w AS (SELECT src, dst FROM se UNION SELECT dst, src FROM se), {_reach(chr(39) + 'C:1' + chr(39), 'w', 6, '_x AS (SELECT 1)')} SELECT node, min(depth)::BIGINT AS distance FROM r GROUP BY node",

@@ -72,6 +72,14 @@ def slo_report(spark, sf_dir):
     return out.select("requests", "failures", F.round("availability", 6).alias("availability"), F.round("burn", 4).alias("burn"), "severity")
 
 
+def slo_window(spark, sf_dir):
+    """The last six hours of the log."""
+    e = _t(spark, sf_dir, "events")
+    last = e.agg(F.max("ts").alias("last"))
+    out = evidence.slo(e.crossJoin(F.broadcast(last)).where(F.col("ts") > F.col("last") - F.expr("INTERVAL 6 HOURS")), F.col("event_type") == "error", 0.99)  # one row
+    return out.select("requests", "failures", F.round("availability", 6).alias("availability"), F.round("burn", 4).alias("burn"), "severity")
+
+
 # --- discovery ---------------------------------------------------------------------------------------------------------
 
 
@@ -221,7 +229,7 @@ def stream_read(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        evidence_dedup, evidence_summary, evidence_digest, adjudicate, metric_utility, independence_report, resolution_ranking, audit_chain, slo_report, motif_mine, rule_validation, rule_eval, schema_induce, concept_map,
+        evidence_dedup, evidence_summary, evidence_digest, adjudicate, metric_utility, independence_report, resolution_ranking, audit_chain, slo_report, slo_window, motif_mine, rule_validation, rule_eval, schema_induce, concept_map,
         operator_evaluation, preference_pairs, causal_pairs, fact_upsert, retention_active, memory_prune, kv_live, kv_counters, sink_and_recent, dedup_stream, windowed_events, session_windows, lww_apply, stream_read,
     )
 }
@@ -240,6 +248,7 @@ ORACLE_SQL = {
     "resolution_ranking": "WITH p AS (SELECT user_id, avg(CASE WHEN event_type IN ('purchase', 'error') THEN (event_type = 'purchase')::INT END) AS s, avg((value > 50)::INT) AS m, max(event_id) AS lsn FROM events GROUP BY user_id) SELECT user_id, round(greatest(0.0, least(1.0, 0.9 * CASE user_id % 3 WHEN 0 THEN 1.0 WHEN 1 THEN 0.5 ELSE 0.4 END * (0.5 + 0.5 * coalesce(s, 0.5)) * (0.75 + 0.25 * coalesce(m, 0.25)) / (1 + (10000 - lsn) / 1000.0::DOUBLE))), 5) AS confidence FROM p",
     "audit_chain": "WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events), h AS (SELECT user_id, event_id, r, sha256('|' || event_id || '|' || event_type) AS hash FROM e WHERE r = 1 UNION ALL SELECT e.user_id, e.event_id, e.r, sha256(h.hash || '|' || e.event_id || '|' || e.event_type) FROM h JOIN e ON e.user_id = h.user_id AND e.r = h.r + 1) SELECT user_id, event_id, hash FROM h",
     "slo_report": "SELECT n AS requests, f AS failures, round(1 - f / n::DOUBLE, 6) AS availability, round(f / n::DOUBLE / (1 - 0.99), 4) AS burn, CASE WHEN f / n::DOUBLE / (1 - 0.99) >= 14.4 THEN 'page' WHEN f / n::DOUBLE / (1 - 0.99) >= 6 THEN 'ticket' ELSE 'ok' END AS severity FROM (SELECT count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS f FROM events)",
+    "slo_window": "SELECT n AS requests, f AS failures, round(1 - f / n::DOUBLE, 6) AS availability, round(f / n::DOUBLE / (1 - 0.99), 4) AS burn, CASE WHEN f / n::DOUBLE / (1 - 0.99) >= 14.4 THEN 'page' WHEN f / n::DOUBLE / (1 - 0.99) >= 6 THEN 'ticket' ELSE 'ok' END AS severity FROM (SELECT count(*) AS n, count(*) FILTER (WHERE event_type = 'error') AS f FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 6 HOUR)",
     "motif_mine": f"WITH {_CASES}, x AS (SELECT domain, resolution, success, unnest([f2, f1, f3, f2 || '|' || f1, f2 || '|' || f3, f1 || '|' || f3, f2 || '|' || f1 || '|' || f3]) AS conditions FROM k), g AS (SELECT conditions, resolution, count(*) FILTER (WHERE success) AS successes, count(*) FILTER (WHERE NOT success) AS contradictions, count(DISTINCT domain) AS domains FROM x GROUP BY ALL) SELECT *, round(successes / (successes + contradictions)::DOUBLE, 5) AS precision FROM g WHERE successes >= 20 AND domains >= 2 ORDER BY successes / (successes + contradictions)::DOUBLE DESC, successes DESC, len(string_split(conditions, '|')), conditions, resolution LIMIT 256",
     "rule_validation": f"WITH {_CASES}, h AS (SELECT *, f1 = 'seg:BUILDING' AS hit FROM k WHERE o_orderkey % 3 = 0 AND resolution = 'F'), p AS (SELECT domain, avg(success::INT) AS p FROM h WHERE hit GROUP BY domain), o AS (SELECT count(*) FILTER (WHERE hit) AS e, count(*) FILTER (WHERE hit AND success) AS s, avg(success::INT) AS b, count(DISTINCT CASE WHEN hit THEN domain END) AS d FROM h) SELECT e AS evaluated, s AS successes, d AS domains, (SELECT count(*) FROM p WHERE p >= 0.8) AS passes, (SELECT count(*) FROM p WHERE p < 0.8) AS failures, round(CASE WHEN e > 0 THEN s / e::DOUBLE ELSE 0 END, 5) AS precision, round(b, 5) AS baseline, round(CASE WHEN e > 0 THEN s / e::DOUBLE ELSE 0 END - b, 5) AS lift, round(CASE WHEN e > 0 THEN 1 - s / e::DOUBLE ELSE 0 END, 5) AS contradiction_ratio FROM o",
     "rule_eval": f"WITH {_CASES}, r AS (SELECT *, f1 = 'seg:BUILDING' AND price > p_size * 1000.0 AS big, f2 IN ('pri:1-URGENT', 'pri:2-HIGH') AS urgent FROM k) SELECT case_id, concat_ws('|', CASE WHEN big THEN 'big' END, CASE WHEN urgent THEN 'urgent' END) AS fired, concat_ws('|', CASE WHEN big THEN 'F' END, CASE WHEN urgent AND f3 = 'status:O' THEN 'O' END) AS proposals, CASE WHEN urgent THEN 'fast' ELSE '' END AS predictions, CASE WHEN big THEN 'large' ELSE '' END AS derived FROM r",

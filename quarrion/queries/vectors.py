@@ -63,6 +63,20 @@ def vec_polar(spark, sf_dir):
     return _vectors(spark, sf_dir).select("vec_id", F.round(F.get(V.amplitudes(e), F.lit(0)), 4).alias("amplitude"), F.round(F.get(V.phases(e), F.lit(0)), 4).alias("phase"), F.round(F.array_max(V.normalize(e)), 4).alias("largest"))
 
 
+def vec_from_polar(spark, sf_dir):
+    """The sum of each vector's elements after a way to amplitudes and phases and back."""
+    e = F.col("embedding")
+    back = V.from_polar(V.amplitudes(e), V.phases(e))
+    return _vectors(spark, sf_dir).select("vec_id", (F.round(F.aggregate(back, F.lit(0.0), lambda a, x: a + x), 4) + 0.0).alias("total"))
+
+
+def vec_folds(spark, sf_dir):
+    """First complex component of the split fold, and the last element of a fold of 63 elements undone."""
+    e = F.col("embedding")
+    split, odd = V.split_fold(e), F.slice(e, 1, 63)
+    return _vectors(spark, sf_dir).select("vec_id", F.round(F.get(split, F.lit(1)).cast("double"), 5).alias("imaginary"), F.size(V.fold(odd)).cast("long").alias("folded"), F.round(F.element_at(V.unfold(V.fold(odd), F.lit(63)), -1).cast("double"), 5).alias("last"))
+
+
 def filter_bool_tree(spark, sf_dir):
     tree = And(Or(Eq("label", 1), In("label", [2, 4, 6])), Range("vec_id", 50, 400), Not(Or(Eq("vec_id", 100), Range("vec_id", 200, 220))))
     return _vectors(spark, sf_dir).where(tree.column()).select("vec_id", F.col("label").cast("long").alias("label"))
@@ -112,6 +126,8 @@ QUERIES = {
     "vec_rerank_recency": vec_rerank_recency,
     "vec_metrics": vec_metrics,
     "vec_polar": vec_polar,
+    "vec_from_polar": vec_from_polar,
+    "vec_folds": vec_folds,
     "filter_bool_tree": filter_bool_tree,
     "olap_agg_all": olap_agg_all,
     "olap_vector_filtered": olap_vector_filtered,
@@ -155,6 +171,8 @@ ORACLE_SQL = {
     "vec_batch_topk": f"SELECT query_id, vec_id, round(s, 5) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, vec_id) AS rank FROM (SELECT q.vec_id AS query_id, e.vec_id, {COSINE} AS s FROM embeddings e, embeddings q WHERE q.vec_id % 20 = 0)) WHERE rank <= 5",
     "vec_rerank_recency": f"WITH b AS (SELECT e.vec_id, {COSINE} AS s, {_PHASE} AS p FROM embeddings e, {_Q} ORDER BY s DESC, e.vec_id LIMIT 30) SELECT vec_id, round(t, 5) AS score FROM (SELECT vec_id, s + exp(-0.1 * (1000.0 - vec_id)) * 0.25 + p * 0.15 AS t FROM b) ORDER BY t DESC, vec_id LIMIT 10",
     "vec_metrics": f"SELECT e.vec_id, round({DOT}, 4) + 0.0 AS inner, round({COSINE}, 4) + 0.0 AS cosine, round(1 - {COSINE}, 4) + 0.0 AS cosine_distance, round({_EUCLID}, 4) + 0.0 AS euclidean, round({_OVERLAP}, 4) + 0.0 AS overlap, round(sqrt({_NE}), 4) + 0.0 AS norm, round({_PHASE}, 4) + 0.0 AS phase FROM embeddings e, {_Q}",
+    "vec_from_polar": "SELECT vec_id, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 4) + 0.0 AS total FROM embeddings",
+    "vec_folds": "SELECT vec_id, round(embedding[33]::DOUBLE, 5) AS imaginary, 64::BIGINT AS folded, round(embedding[63]::DOUBLE, 5) AS last FROM embeddings",
     "vec_polar": f"SELECT e.vec_id, round(sqrt(e.embedding[1]::DOUBLE ** 2 + e.embedding[2]::DOUBLE ** 2), 4) AS amplitude, round(atan2(e.embedding[2]::DOUBLE, e.embedding[1]::DOUBLE), 4) AS phase, round(list_max(e.embedding)::DOUBLE / sqrt({_NE}), 4) AS largest FROM embeddings e",
     "filter_bool_tree": "SELECT vec_id, label::BIGINT AS label FROM embeddings WHERE (label = 1 OR label IN (2, 4, 6)) AND vec_id BETWEEN 50 AND 400 AND NOT (vec_id = 100 OR vec_id BETWEEN 200 AND 220)",
     "olap_agg_all": _agg_sql("true"),
