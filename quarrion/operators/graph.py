@@ -1,27 +1,33 @@
 """Property graphs as two tables: nodes (node_id, ...) and edges (src, dst, type, weight).
 
-Iterative algorithms cut their lineage with checkpoint(), so that plans stay short and a lost executor costs no recomputation.
+Iterative algorithms cut their lineage with tables in the shared folder, so that plans stay short and a lost executor costs no recomputation.
 """
 
 from __future__ import annotations
 
 import itertools
 import tempfile
+import uuid
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def _checkpoints(spark: SparkSession) -> None:
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarrion-"))
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see; a temporary one where the session names none, as in tests."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quarrion.shared.dir", None)
+    if found is None:
+        found = f"file://{tempfile.mkdtemp(prefix='quarrion-')}"
+        spark.conf.set("quarrion.shared.dir", found)
+    return found
 
 
 def _cut(df: DataFrame) -> DataFrame:
-    _checkpoints(df.sparkSession)
-    return df.checkpoint()
+    """df as a written table. A checkpoint would carry estimated sizes on, which multiply from round to round; files have their own."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def written(df: DataFrame) -> DataFrame:
