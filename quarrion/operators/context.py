@@ -70,6 +70,45 @@ def lexical_search(entities: DataFrame, query: str, k: int, name_col: str = "lab
     return entities.select(F.col(id_col).alias("id"), score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(k)
 
 
+def seeded_query(symbols: DataFrame, edges: DataFrame, query: str, depth: int, seeds: int = 5) -> DataFrame:
+    """(id, depth): the best symbols for a query, and what they lead to: all edges forwards, calls backwards as well.
+
+    symbols (id, name, qualified, doc); edges (src, dst, type). A term gives 10 for an equal name, else 4 for one that holds it,
+    2 for the qualified name and 1.5 for the description; ties go to the smaller id."""
+    from .graph import reach
+
+    score = F.lit(0.0)
+    for term in [t for t in (w.strip("".join(c for c in w if not c.isalnum())) for w in query.lower().split()) if t]:
+        holds = lambda c: F.coalesce(F.contains(F.lower(c), F.lit(term)), F.lit(False))  # noqa: E731, B023
+        score = score + F.when(F.lower("name") == term, 10.0).when(holds("name"), 4.0).otherwise(0.0) + F.when(holds("qualified"), 2.0).otherwise(0.0) + F.when(holds("doc"), 1.5).otherwise(0.0)
+    best = symbols.select("id", score.alias("score")).where("score > 0").orderBy(F.desc("score"), "id").limit(seeds).select("id")
+    walk = edges.select("src", "dst", "type").unionByName(edges.where("type = 'CALLS'").select(F.col("dst").alias("src"), F.col("src").alias("dst"), "type"))
+    far = reach(walk, best.select(F.col("id").alias("start")), depth).select(F.col("node").alias("id"), "depth")
+    return best.select("id", F.lit(0).alias("depth")).unionByName(far).groupBy("id").agg(F.min("depth").cast("long").alias("depth"))
+
+
+def markdown_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(line): rows as lines of a markdown table, bars and line feeds escaped. The head is `markdown_head`."""
+    cell = lambda c: F.replace(F.replace(F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit("\\"), F.lit("\\\\")), F.lit("|"), F.lit("\\|")), F.lit("\n"), F.lit(" "))
+    return rows.select(F.concat(F.lit("| "), F.concat_ws(" | ", *[cell(c) for c in columns]), F.lit(" |")).alias("line"))
+
+
+def markdown_head(columns: list[str]) -> list[str]:
+    return ["| " + " | ".join(columns) + " |", "|" + "-|" * len(columns)]
+
+
+def html_rows(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """(line): rows as <tr> elements with their texts escaped."""
+
+    def cell(c: str) -> Column:
+        v = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        for a, b in [("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")]:
+            v = F.replace(v, F.lit(a), F.lit(b))
+        return F.concat(F.lit("<td>"), v, F.lit("</td>"))
+
+    return rows.select(F.concat(F.lit("<tr>"), *[cell(c) for c in columns], F.lit("</tr>")).alias("line"))
+
+
 def resolve(references: DataFrame, entities: DataFrame) -> DataFrame:
     """(ref_id, state, confidence, targets): an exact label, else one that ends like the reference; one hit is resolved at 0.95, more are ambiguous at 0.5.
 

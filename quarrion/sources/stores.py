@@ -78,6 +78,29 @@ def read_journal(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return rows.select(F.from_json(checked, schema).alias("e")).select("e.*")
 
 
+def write_frames(rows: DataFrame, path: str, order: str = "lsn", per_segment: int = 1_000_000) -> None:
+    """Appends log entries as lines `crc32 number entry` to segments; numbers must follow each other without gaps."""
+    entry = F.to_json(F.struct(*rows.columns))
+    line = F.concat_ws("\t", F.col(order).cast("string"), entry)
+    out = rows.select(F.floor(F.col(order) / per_segment).cast("long").alias("segment"), F.concat_ws("\t", F.crc32(line.cast("binary")).cast("string"), line).alias("value"))
+    out.repartition("segment").write.mode("append").partitionBy("segment").text(path)
+
+
+def replay_frames(spark: SparkSession, path: str, schema: str, truncated: int = 0) -> DataFrame:
+    """Entries of a log, those up to `truncated` left out. One bad line at the end of the last segment is a torn write and is dropped;
+    one anywhere else leaves a gap in the numbers or stands in an earlier segment, and is an error."""
+    rows = spark.read.text(path).select("segment", F.split("value", "\t", 3).alias("p"))
+    good = (F.size("p") == 3) & (F.try_element_at("p", F.lit(1)).try_cast("long").eqNullSafe(F.crc32(F.concat_ws("\t", F.try_element_at("p", F.lit(2)), F.try_element_at("p", F.lit(3))).cast("binary"))))
+    read = rows.select("segment", F.coalesce(good, F.lit(False)).alias("good"), F.try_element_at("p", F.lit(2)).try_cast("long").alias("n"), F.try_element_at("p", F.lit(3)).alias("entry"))
+    valid, bad = F.when(F.col("good"), F.col("n")), F.when(~F.col("good"), F.col("segment"))
+    state = read.agg(F.count(valid).alias("n"), F.countDistinct(valid).alias("distinct"), F.min(valid).alias("first"), F.max(valid).alias("last"), F.count(bad).alias("bad"), F.min(bad).alias("bad_in"), F.max("segment").alias("newest")).first()
+    if state["n"] and (state["distinct"] != state["n"] or state["last"] - state["first"] + 1 != state["n"]):
+        raise ValueError("the log has a gap or repeats an entry")
+    if state["bad"] > 1 or (state["bad"] and state["bad_in"] != state["newest"]):
+        raise ValueError("the log is damaged before its end")
+    return read.where(F.col("good") & (F.col("n") > truncated)).select(F.from_json("entry", schema).alias("e")).select("e.*")
+
+
 #: Files larger than this are left alone by crawl().
 MAX_BYTES = 8 << 20
 
