@@ -39,13 +39,15 @@ class MotifPolicy:
 def mine_motifs(cases: DataFrame, policy: MotifPolicy = MotifPolicy()) -> DataFrame:
     """(conditions, resolution, successes, contradictions, domains, precision, precision_q32), the best max_motifs.
 
-    Order: precision down, successes down, fewer terms, then conditions and resolution. Counting is one aggregation with partial
-    sums; the subsets of a case are bounded by max_features and max_terms.
+    Order: precision down, successes down, fewer terms, then conditions and resolution. Cases alike are counted
+    first, so their subsets are made once; the subsets of a case are bounded by max_features and max_terms.
     """
     known = cases.where("resolution is not null and success is not null")
     features = F.slice(F.array_sort("features"), 1, policy.max_features)
-    rows = known.select("domain", "resolution", "success", F.explode(combinations(features, policy.max_terms)).alias("conditions"))
-    sums = rows.groupBy("conditions", "resolution").agg(F.count_if("success").alias("successes"), F.count_if(~F.col("success")).alias("contradictions"), F.countDistinct("domain").alias("domains"))
+    alike = known.groupBy(features.alias("features"), "domain", "resolution").agg(F.count_if("success").alias("yes"), F.count_if(~F.col("success")).alias("no"))
+    rows = alike.select("domain", "resolution", "yes", "no", F.explode(combinations(F.col("features"), policy.max_terms)).alias("conditions"))
+    each = rows.groupBy("conditions", "resolution", "domain").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no"))
+    sums = each.groupBy("conditions", "resolution").agg(F.sum("yes").alias("successes"), F.sum("no").alias("contradictions"), F.count("domain").alias("domains"))
     good = sums.where((F.col("successes") >= policy.min_successes) & (F.col("domains") >= policy.min_domains))
     good = good.withColumn("precision", F.col("successes") / (F.col("successes") + F.col("contradictions"))).withColumn("precision_q32", ratio(F.col("successes"), F.col("successes") + F.col("contradictions")))
     return good.orderBy(F.desc("precision_q32"), F.desc("successes"), F.size("conditions"), F.array_join("conditions", "|"), "resolution").limit(policy.max_motifs)
