@@ -15,9 +15,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one where the session names none, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quarrion.shared.dir", None)
+    """The folder that the driver and all executors see. Where the session names none, as in tests on one machine, it is a temporary one."""
+    sc = spark.sparkContext
+    found = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir() or spark.conf.get("quarrion.shared.dir", None)
     if found is None:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors see")
         found = f"file://{tempfile.mkdtemp(prefix='quarrion-')}"
         spark.conf.set("quarrion.shared.dir", found)
     return found

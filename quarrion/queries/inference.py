@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import cells, communities, context, reasoning
-from ..operators.graph import modularity, written
+from ..operators.graph import modularity, shared_folder, written
 from ..sources import stores
 from .graphs import _id, _parts_graph
 from .graphs import edges as graph_edges
@@ -162,7 +161,7 @@ def html_export(spark, sf_dir):
 
 def log_replay(spark, sf_dir):
     """Events written as a framed log and read back behind a truncation."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarrion-")
+    shared = shared_folder(spark)
     path = f"{shared}/frames-{uuid.uuid4().hex}"
     e = _t(spark, sf_dir, "events").select(F.col("event_id").alias("lsn"), "user_id", "event_type")
     stores.write_frames(e, path, per_segment=4000)

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import discovery, evidence, memory
+from ..operators.graph import shared_folder
 from ..streaming import ingest
 
 
@@ -189,7 +189,7 @@ def sink_and_recent(spark, sf_dir):
 
 def _stream(spark, sf_dir):
     """The events with one in three sent twice, as a file stream."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="quarrion-")
+    shared = shared_folder(spark)
     path = f"{shared}/stream-{uuid.uuid4().hex}"
     e = _t(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     e.unionByName(e.where("event_id % 3 = 0")).write.mode("overwrite").parquet(f"{path}/in")
