@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import contextvars
 import functools
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -13,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.graph import shared_folder
+
 #: White space as the contracts define it: space and 0x09-0x0D, all single bytes in UTF-8.
 SPACE_BYTES = bytes([0x20, *range(0x09, 0x0E)])
 SPACE_CLASS = r"[ \x09-\x0D]+"
@@ -30,12 +31,8 @@ def id_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quarrion.shared.dir", None)
-    if not found:
-        found = f"file://{tempfile.mkdtemp(prefix='quarrion-')}"
-        spark.conf.set("quarrion.shared.dir", found)
-    return found.rstrip("/")
+    """The folder that driver and executors share; a folder of our own only on one machine whose session names none."""
+    return shared_folder(spark).rstrip("/")
 
 
 #: Tables written by the operator that runs.
