@@ -1,7 +1,7 @@
 """Corpus pipeline: five stages one after another, each written as Parquet and read again by the next.
 
 Stages filter, rewrite or repeat whole documents; all but the last return the columns of `documents`, and further
-columns as they came. An empty table stays empty.
+columns as they came. An empty table stays empty. Stages that use Python bound the session's Arrow batches in bytes.
 """
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrion.llm import importance, jaccard_join, mixing, pii, sentencepiece_codec
-from quarrion.llm.common import table, written
+from quarrion.llm.common import bounded_batches, table, written
 
 #: Near duplicates: shingles of five words, a Jaccard similarity of 0.8 or more.
 SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
@@ -18,6 +18,7 @@ SHINGLE_WORDS, SHINGLE_PERCENT = 5, 80
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that importance resampling rejects go. Null and empty texts have weight 1; repeated rows stay or go together."""
+    bounded_batches(spark)
     return importance.keep_sampled(docs, importance.good_documents(spark, sf_dir))
 
 
@@ -26,6 +27,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows with the same id are one document and stay or go together; rows without an id link with nothing and stay, as do
     texts without words."""
+    bounded_batches(spark)
     found = jaccard_join.joined(docs, SHINGLE_WORDS, SHINGLE_PERCENT)
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
@@ -46,6 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of ids and decoded texts, one row for each row; null texts count as empty."""
+    bounded_batches(spark)
     return sentencepiece_codec.encode_digests(docs)
 
 

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -190,18 +191,21 @@ def keep_sampled(docs: DataFrame, target: DataFrame, k: int | None = None, loss:
     least = _threshold(scored, k, loss)
     discard(scored)
     known_models = docs.sparkSession.sparkContext.broadcast(models)
-    packed = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
+    at = docs.columns.index(text_col) if text_col in docs.columns else [c.lower() for c in docs.columns].index(text_col.lower())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = known_models.value
         for batch in batches:
-            for row, stop, data, offsets in chunks(batch.column(2)):
+            rows = batch.column(0)
+            for row, stop, data, offsets in chunks(pc.fill_null(pc.struct_field(rows, [at]), "")):
                 doc, bucket = features(data, offsets, len(known.target))
                 n = stop - row
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(row, n), batch.column(1).slice(row, n), pa.array(np.bincount(doc, minlength=n)), pa.array(known.log_weights(doc, bucket, n))], ["row", "doc_id", "n_features", "log_weight"])
+                yield pa.RecordBatch.from_arrays([rows.slice(row, n), pa.array(np.bincount(doc, minlength=n)), pa.array(known.log_weights(doc, bucket, n))], ["row", "n_features", "log_weight"])
 
-    schema = T.StructType([packed.schema["row"], packed.schema["doc_id"], T.StructField("n_features", T.LongType()), T.StructField("log_weight", T.DoubleType())])
-    found = packed.mapInArrow(run, schema).where(F.col("log_weight") + gumbel(seed, "doc_id", "n_features") >= F.lit(least))
+    schema = T.StructType([packed.schema["row"], T.StructField("n_features", T.LongType()), T.StructField("log_weight", T.DoubleType())])
+    found = packed.mapInArrow(run, schema).withColumn("doc_id", F.col("row").getField(id_col).cast("long"))
+    found = found.where(F.col("log_weight") + gumbel(seed, "doc_id", "n_features") >= F.lit(least))
     return found.select("row.*")
 
 

@@ -3,7 +3,8 @@
 No piece of the model has the whitespace marker behind another character, so merges never cross from one marked
 word (a run of markers and what follows it) to the next. Each distinct marked word is therefore segmented once, in a
 table that each task keeps, and the ids of a text are those of its words joined in order. The table holds at most
-`max_entries` words and those of one batch; a full one is emptied, which costs time but changes no result.
+`max_entries` words and those of one batch; a full one is emptied, which costs time but changes no result. An entry is
+two strings, the word and its ids; decoded texts are kept only of words that don't decode to themselves.
 """
 
 from __future__ import annotations
@@ -18,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import id_text, table
 
 MARK = "▁"
-CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
+#: Marked words have spaces for markers, which takes a byte a character in most scripts' words.
+CHUNK = re.compile(" +[^ ]*")
 MAX_ENTRIES = 300_000
 #: Words longer than this are segmented anew each time, so that the table's size in bytes is bounded as well.
 MAX_KEPT_CHARS = 64
@@ -31,14 +33,15 @@ def model_path(name: str = "piece_bpe_32k.model") -> str:
 
 
 class ChunkTable:
-    """Segmentations of distinct marked words: (ids, ids as text, decoded text)."""
+    """Segmentations of distinct marked words: ids as text, and decoded texts that differ from the word."""
 
     def __init__(self, path: str, max_entries: int = MAX_ENTRIES):
         import sentencepiece
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=path)
         self.max_entries = max_entries
-        self.known: dict[str, tuple[int, str, str]] = {}
+        self.known: dict[str, str] = {}
+        self.altered: dict[str, str] = {}
         if any(MARK in self.model.id_to_piece(i).lstrip(MARK) for i in range(self.model.get_piece_size())):
             raise ValueError("pieces of this model cross whitespace markers")
         probe = "a  b "
@@ -49,41 +52,46 @@ class ChunkTable:
         """word has spaces for markers and at least one in front; the library adds one marker itself."""
         return self.model.encode(word[1:]) if len(word) > 1 else [self.model.piece_to_id(MARK)]
 
-    def add(self, words: set[str]) -> dict[str, tuple[int, str, str]]:
-        """Segments words that the table lacks, all in one call; returns those too long to keep."""
+    def add(self, words: set[str]) -> tuple[dict[str, str], dict[str, str]]:
+        """Segments words that the table lacks, all in one call; returns ids and altered texts of those too long to keep."""
         new = list(words)
         lone = self.model.piece_to_id(MARK)
-        ids = [x or [lone] for x in self.model.encode([w[1:].replace(MARK, " ") for w in new], num_threads=1)]
+        ids = [x or [lone] for x in self.model.encode([w[1:] for w in new], num_threads=1)]
         # decode() strips one leading space, so a marker goes in front
         texts = self.model.decode([[lone, *x] for x in ids], num_threads=1)
-        passing = {}
+        passing: tuple[dict[str, str], dict[str, str]] = {}, {}
         for w, x, t in zip(new, ids, texts, strict=True):
-            (self.known if len(w) <= MAX_KEPT_CHARS else passing)[w] = (len(x), ",".join(map(str, x)), t)
+            known, altered = (self.known, self.altered) if len(w) <= MAX_KEPT_CHARS else passing
+            known[w] = ",".join(map(str, x))
+            if t != w:
+                altered[w] = t
         return passing
 
-    def segmented(self, texts: list[str]) -> list[list[tuple[int, str, str]]]:
-        """For each text its words' entries in order."""
+    def segmented(self, texts: list[str]) -> list[tuple[str, str]]:
+        """For each text its ids joined by commas and its decoded text, which has a marker's space in front."""
         split = [self.split(t) for t in texts]
-        known = self.known
+        known, altered = self.known, self.altered
         if len(known) > self.max_entries:
             known.clear()
-        if (missing := {w for words in split for w in words if w not in known}) and (passing := self.add(missing)):
-            return [[known[w] if w in known else passing[w] for w in words] for words in split]
-        return [[known[w] for w in words] for words in split]
+            altered.clear()
+        long, long_altered = self.add(missing) if (missing := {w for words in split for w in words if w not in known}) else ({}, {})
+        out = []
+        for words in split:
+            ids = ",".join([known[w] if w in known else long[w] for w in words] if long else [known[w] for w in words])
+            if not altered.keys().isdisjoint(words) or not long_altered.keys().isdisjoint(words):
+                words = [altered[w] if w in altered else long_altered.get(w, w) for w in words]
+            out.append((ids, "".join(words)))
+        return out
 
     def split(self, text: str) -> list[str]:
-        return CHUNK.findall(MARK + text.replace(" ", MARK)) if text else []
+        return CHUNK.findall(" " + text.replace(MARK, " ")) if text else []
 
     def encode(self, texts: list[str]) -> list[list[int]]:
-        return [[int(i) for x in found for i in x[1].split(",")] for found in self.segmented(texts)]
+        return [[int(i) for i in ids.split(",")] if ids else [] for ids, _ in self.segmented(texts)]
 
     def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
         """Number of ids, ids joined by commas, decoded text."""
-        out = []
-        for found in self.segmented(texts):
-            decoded = "".join([x[2] for x in found])
-            out.append((sum([x[0] for x in found]), ",".join([x[1] for x in found]), decoded[1:] if decoded[:1] == " " else decoded))
-        return out
+        return [(ids.count(",") + 1 if ids else 0, ids, decoded.removeprefix(" ")) for ids, decoded in self.segmented(texts)]
 
 
 def encode(docs: DataFrame, model: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -76,3 +76,58 @@ def test_odd_tables(spark, folder, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, folder), name)
         assert docs.count() == 0
+
+
+def test_batches_bounded_in_bytes(spark, folder):
+    """Stages with Python bound Arrow batches in bytes, as rows of any number may be long; a smaller limit of the session stays."""
+    import pyarrow as pa
+
+    import corpus_pipeline
+    from quarrion.llm.common import BATCH_BYTES
+
+    limit = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.range(2000).selectExpr("id doc_id", "repeat('word', 2000) text", "'en' lang", "'s' source", "8000L n_chars").coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes]), pa.array([batch.num_rows])], ["bytes", "n"])
+
+    for stage in (corpus_pipeline.quality, corpus_pipeline.near_duplicates, corpus_pipeline.encode):
+        spark.conf.unset(limit)
+        stage(spark, docs.limit(2), folder)
+        found = docs.mapInArrow(sizes, "bytes long, n long").collect()
+        assert sum(r["n"] for r in found) == 2000 and max(r["bytes"] for r in found) < 1.1 * BATCH_BYTES
+    spark.conf.set(limit, "1m")
+    corpus_pipeline.encode(spark, docs.limit(2), folder)
+    assert spark.conf.get(limit) == "1m"
+    spark.conf.unset(limit)
+
+
+def test_quality_hands_texts_over_once(spark):
+    """The rows that the classifier scores in place reach Python with one copy of the text; columns are found whatever their case."""
+    from quarrion.llm import importance
+
+    target = spark.createDataFrame([(0,)], "doc_id long")
+    docs = spark.createDataFrame([(0, "a b c", 1), (1, None, 2), (None, "a", 3)], "DOC_ID int, TEXT string, x int")
+    kept = importance.keep_sampled(docs, target, k=10)
+    assert kept.columns == docs.columns and sorted(r["x"] for r in kept.collect()) == [1, 2, 3]
+    plan = kept._jdf.queryExecution().optimizedPlan()
+    while plan.nodeName() != "MapInArrow":
+        plan = plan.children().head()
+    assert [f for f in plan.child().schema().fieldNames()] == ["row"]
+
+
+def test_word_table_is_compact():
+    import tracemalloc
+
+    from quarrion.llm import sentencepiece_codec
+
+    known = sentencepiece_codec.ChunkTable(sentencepiece_codec.model_path())
+    text = " ".join(f"word{i:05}" for i in range(20_000))
+    tracemalloc.start()
+    try:
+        known.segmented([text])
+        used = tracemalloc.get_traced_memory()[0]
+    finally:
+        tracemalloc.stop()
+    assert len(known.known) == 20_000 and used < 250 * 20_000
