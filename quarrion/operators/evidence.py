@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed
+from . import tiles
 
 KEYS = ["relation_id", "attempt_id", "policy_id", "context"]
 
@@ -86,20 +91,80 @@ def consensus(beliefs: DataFrame, region: list[float], radius: float) -> DataFra
     return one.select("beliefs", "agents", F.coalesce("merged_confidence", F.lit(1.0)).alias("merged_confidence"), centroid.alias("centroid"))
 
 
+#: Rows of a cell that a task holds at least, while the others stream past them.
+HELD = 1024
+
+
 def conflicts(beliefs: DataFrame, epsilon: float, cell: str | None = None) -> DataFrame:
     """Pairs (belief_a < belief_b) of different agents no further apart than epsilon.
 
     Beliefs are dealt to cells of side epsilon over their first two coordinates, each met with its neighbours, so that only
-    near beliefs are compared.
+    near beliefs are compared. Full cells are parted among tasks, and pairs compared in matrices; only those found become rows.
     """
-    side = F.lit(float(epsilon))
-    place = lambda i: F.floor(F.get("coords", F.lit(i)).cast("double") / side)
-    a = beliefs.select(F.col("belief_id").alias("belief_a"), F.col("agent").alias("agent_a"), F.col("coords").alias("ca"), place(0).alias("x"), place(1).alias("y"))
-    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
-    b = beliefs.select(F.col("belief_id").alias("belief_b"), F.col("agent").alias("agent_b"), F.col("coords").alias("cb"), place(0).alias("px"), place(1).alias("py"), F.explode(steps).alias("s"))
-    b = b.select("belief_b", "agent_b", "cb", (F.col("px") + F.col("s.i")).alias("x"), (F.col("py") + F.col("s.j")).alias("y"))
-    met = a.join(b, ["x", "y"]).where((F.col("belief_a") < F.col("belief_b")) & (F.col("agent_a") != F.col("agent_b")))
-    return met.withColumn("distance", _distance("ca", "cb")).where(F.col("distance") <= epsilon).select("belief_a", "agent_a", "belief_b", "agent_b", "distance")
+    side = F.lit(max(float(epsilon), 1e-300))
+    far = float(1 << 52)
+    place = lambda i: F.floor(F.greatest(F.lit(-far), F.least(F.lit(far), F.coalesce(F.get("coords", F.lit(i)).cast("double"), F.lit(0.0)) / side)))
+    whole = F.col("belief_id").isNotNull() & F.col("agent").isNotNull() & (F.size("coords") > 0) & ~F.exists("coords", lambda x: x.isNull())
+    rows = beliefs.where(whole).select(F.col("belief_id").alias("id"), "agent", "coords", place(0).alias("_k0"), place(1).alias("_k1"))
+    sizes = rows.groupBy("_k0", "_k1").agg(F.count("*").alias("n"))
+    total = beliefs.count()
+    parts = sizes.select("_k0", "_k1", F.ceil(F.col("n") / max(HELD, min(total // 64, 16 * HELD))).alias("parts"))
+    held = rows.join(parts, ["_k0", "_k1"]).select("id", "agent", "coords", "_k0", "_k1", F.pmod(F.xxhash64("id"), F.col("parts")).alias("_k2"))
+    # a pair of cells meets in one of the two
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))])
+    near = rows.withColumn("s", F.explode(steps)).select("id", "agent", "coords", (F.col("_k0") + F.col("s.i")).alias("_k0"), (F.col("_k1") + F.col("s.j")).alias("_k1"), ((F.col("s.i") == 0) & (F.col("s.j") == 0)).alias("own"))
+    near = near.join(parts, ["_k0", "_k1"]).select("id", "agent", "coords", "_k0", "_k1", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("_k2"))
+    kinds = dict(rows.dtypes)
+    schema = f"a {kinds['id']}, agent_1 {kinds['agent']}, b {kinds['id']}, agent_2 {kinds['agent']}, distance double, own boolean"
+    tasks = max(int(beliefs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 64, total // 20_000)
+    found = tiles.met(held.withColumn("own", F.lit(True)), near, tasks, lambda table: _near(table, float(epsilon)), schema)
+    found = found.where((F.col("agent_1") != F.col("agent_2")) & F.when(F.col("own"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
+    first = F.col("a") < F.col("b")
+    pick = lambda x, y: F.when(first, F.col(x)).otherwise(F.col(y))
+    return found.select(pick("a", "b").alias("belief_a"), pick("agent_1", "agent_2").alias("agent_a"), pick("b", "a").alias("belief_b"), pick("agent_2", "agent_1").alias("agent_b"), "distance")
+
+
+def _near(table: pa.Table, epsilon: float):
+    """For tiles.met: pairs of a held and a streamed row no further apart than epsilon, distances summed in the order of coordinates."""
+    by_width: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    widths = np.asarray(pc.list_value_length(table["coords"].combine_chunks()))
+    for w in np.unique(widths):
+        at = np.flatnonzero(widths == w)
+        by_width[int(w)] = tiles.matrix(table["coords"].combine_chunks().take(pa.array(at)))[0], at
+    ids, agents = table["id"].combine_chunks(), table["agent"].combine_chunks()
+
+    def step(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        column = batch.column("coords")
+        lengths = np.asarray(pc.list_value_length(column))
+        for w in np.unique(lengths):
+            if int(w) not in by_width:
+                continue
+            m, at = by_width[int(w)]
+            here = np.flatnonzero(lengths == w)
+            v = tiles.matrix(column.take(pa.array(here)))[0]
+            wide = max(1, tiles.ELEMENTS // len(m))
+            for x in range(0, len(v), wide):
+                i, j, d = _close(m, v[x : x + wide], epsilon)
+                if len(i):
+                    mine, theirs = pa.array(at[i]), pa.array(here[x + j])
+                    yield pa.RecordBatch.from_arrays([ids.take(mine), agents.take(mine), batch.column("id").take(theirs), batch.column("agent").take(theirs), pa.array(d), batch.column("own").take(theirs)], ["a", "agent_1", "b", "agent_2", "distance", "own"])
+
+    return step, lambda: iter(())
+
+
+def _close(m: np.ndarray, v: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of m, row of v, distance) up to epsilon: products find candidates with room for their rounding, differences decide."""
+    with np.errstate(all="ignore"):
+        a, b = (m * m).sum(1), (v * v).sum(1)
+        square = a[:, None] + b[None] - 2 * (m @ v.T)
+        i, j = np.nonzero(~(square > epsilon * epsilon + 1e-12 * (epsilon * epsilon + a.max() + b.max())))
+        s = np.zeros(len(i))
+        for k in range(m.shape[1]):
+            d = m[i, k] - v[j, k]
+            s += d * d
+        s = np.sqrt(s)
+    keep = s <= epsilon
+    return i[keep], j[keep], s[keep]
 
 
 def independence(assertions: DataFrame, by: str) -> DataFrame:
