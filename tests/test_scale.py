@@ -26,3 +26,40 @@ def test_conflicts_of_any_width_and_place(spark):
             evidence.HELD = keep
         assert len(found) == len(set(found)) and set(found) == want
     assert evidence.conflicts(df.limit(0), 0.1).count() == 0
+
+
+def test_concepts_meet_as_all_pairs_do(spark):
+    """Against the definition, for every least score; null features share nothing by themselves; many alike are parted."""
+    from quarrion.operators import discovery
+
+    rng = random.Random(2)
+    some = lambda n: [rng.choice(["a", "b", "c", None] if n else ["a"]) for _ in range(rng.randrange(4))]
+    rows = [(i, i % 3, *[some(k) for k in range(1, 4)], some(0)) for i in range(60)] + [(100 + i, i % 2, ["q"], ["q"], [], ["t"]) for i in range(20)]
+    rows += [(200, None, ["q"], ["q"], ["q"], ["t"]), (201, 1, None, ["q"], ["q"], ["t"]), (202, 2, ["q"], ["q"], ["q"], None)]
+    j = lambda a, b: len({*a} & {*b}) / len({*a} | {*b}) if {*a} | {*b} else 0.0
+    whole = [r for r in rows if None not in r]
+    every = {}
+    for a in whole:
+        for b in whole:
+            if a[0] < b[0] and a[1] != b[1] and any({*x} & {*y} - {None} for x, y in zip(a[2:5], b[2:5])):
+                every[a[0], b[0]] = (4 * j(a[2], b[2]) + 3 * j(a[3], b[3]) + 2 * j(a[4], b[4]) + j(a[5], b[5])) / 10
+    df = spark.createDataFrame(rows, "concept_id int, domain int, roles array<string>, outcomes array<string>, capabilities array<string>, times array<string>")
+    keep, discovery.PROFILE = discovery.PROFILE, 3
+    try:
+        for least in (0.05, 0.3, 0.5, 0.75, 1.2):
+            found = discovery.map_concepts(df, least).collect()
+            got = {(r["left"], r["right"]): round(r["score"], 9) for r in found}
+            assert len(got) == len(found) and got == {k: round(v, 9) for k, v in every.items() if v >= least - 1e-12}
+    finally:
+        discovery.PROFILE = keep
+
+
+def test_concepts_alike_are_scored_once(spark):
+    """Pairs of profiles meet, not pairs of concepts: no shuffle carries a row for each pair."""
+    from quarrion.operators import discovery
+
+    df = spark.range(600).select(F.col("id").alias("concept_id"), (F.col("id") % 2).alias("domain"), *[F.array(F.lit("x")).alias(k) for k in ("roles", "outcomes", "capabilities", "times")])
+    found = discovery.map_concepts(df, 0.5)
+    assert found.count() == 300 * 300
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "HashAggregate" not in plan.split("Generate")[0]
