@@ -63,3 +63,32 @@ def test_concepts_alike_are_scored_once(spark):
     assert found.count() == 300 * 300
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" not in plan.split("Generate")[0]
+
+
+def _peeled(nodes, pairs):
+    core, alive, k = {}, set(nodes), 0
+    live = [(a, b) for a, b in pairs if a != b]
+    while alive:
+        low = {v for v in alive if sum((a == v) + (b == v) for a, b in live) <= k}
+        core |= dict.fromkeys(low, k)
+        alive -= low
+        live = [(a, b) for a, b in live if a not in low and b not in low]
+        k += not low
+    return core
+
+
+def test_cores_settle_in_few_rounds(spark, monkeypatch):
+    """Peeling by brute force; a dense graph's cores must not cost a table for each k."""
+    from quarrion.operators import graph
+
+    rng = random.Random(3)
+    for n, m in ((14, 60), (25, 40), (4, 0)):
+        pairs = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + ([(0, 99), (1, 99)] if n == 14 else [])
+        e = spark.createDataFrame([(a, b, "E", 1.0) for a, b in pairs], "src long, dst long, type string, weight double")
+        got = graph.k_core(spark.range(n).toDF("node_id"), e).collect()
+        assert {r["node_id"]: r["core"] for r in got} == _peeled(range(n), pairs)
+    cuts = []
+    cut = graph._cut
+    monkeypatch.setattr(graph, "_cut", lambda df: cuts.append(1) or cut(df))
+    dense = spark.createDataFrame([(a, b) for a in range(30) for b in range(a)], "src long, dst long")
+    assert {r["core"] for r in graph.k_core(spark.range(30).toDF("node_id"), dense).collect()} == {29} and len(cuts) < 10
