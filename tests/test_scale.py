@@ -92,3 +92,19 @@ def test_cores_settle_in_few_rounds(spark, monkeypatch):
     monkeypatch.setattr(graph, "_cut", lambda df: cuts.append(1) or cut(df))
     dense = spark.createDataFrame([(a, b) for a in range(30) for b in range(a)], "src long, dst long")
     assert {r["core"] for r in graph.k_core(spark.range(30).toDF("node_id"), dense).collect()} == {29} and len(cuts) < 10
+
+
+def test_triangles_read_their_edges_once(spark, tmp_path):
+    from quarrion.operators import graph
+
+    reads = spark.sparkContext.accumulator(0)
+
+    def seen(batches):
+        for b in batches:
+            reads.add(b.num_rows)
+            yield b
+
+    pairs = [(0, 1), (1, 2), (0, 2), (2, 3), (3, 0), (4, 5)]
+    e = spark.createDataFrame(pairs, "src long, dst long").mapInArrow(seen, "src long, dst long")
+    got = {r["node_id"]: r["triangles"] for r in graph.triangles(spark.range(6).toDF("node_id"), e).collect()}
+    assert got == {0: 2, 1: 1, 2: 2, 3: 1, 4: 0, 5: 0} and reads.value == len(pairs)
