@@ -108,3 +108,12 @@ def test_triangles_read_their_edges_once(spark, tmp_path):
     e = spark.createDataFrame(pairs, "src long, dst long").mapInArrow(seen, "src long, dst long")
     got = {r["node_id"]: r["triangles"] for r in graph.triangles(spark.range(6).toDF("node_id"), e).collect()}
     assert got == {0: 2, 1: 1, 2: 2, 3: 1, 4: 0, 5: 0} and reads.value == len(pairs)
+
+
+def test_traverse_goes_past_hubs(spark):
+    """A hub of more than 250 edges and more than 1000 nodes in all; budgets hold where they are asked for."""
+    from quarrion.operators import graph
+
+    e = spark.range(1, 1301).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"), F.lit("E").alias("type"))
+    assert graph.traverse(e, 0, 2).count() == 1300
+    assert graph.traverse(e, 0, 2, 7).count() == 7 and graph.traverse(e, 0, 2, None, 9).count() == 9
