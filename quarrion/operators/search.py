@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.vectors import METRICS
+from . import tiles
 
 
 def literal_vector(values) -> Column:
@@ -101,31 +102,131 @@ def top_k(vectors: DataFrame, query, k: int, metric: str = "cosine", where: Colu
 def batch_top_k(vectors: DataFrame, queries: DataFrame, k: int, metric: str = "cosine", id_col: str = "vec_id", vector_col: str = "embedding", block: int = 256) -> DataFrame:
     """(query_id, id, score, rank) for a stated set of queries (query_id, embedding), in blocks.
 
-    Each block of queries travels to the vectors' tasks as one matrix; a task keeps its k best for each query, so the
-    shuffle carries k rows a query and task, whatever the number of vectors.
+    Up to `block` queries travel to the vectors' tasks as one matrix; a task keeps its k best for each query, so the
+    shuffle carries k rows a query and task, whatever the number of vectors. More are dealt out in groups that meet slices
+    of the vectors, and neither passes through the driver.
     """
     if metric not in _REAL:
         raise ValueError(f"metric must be one of {sorted(_REAL)}")
-    blocks = [queries.select("query_id", "embedding").toPandas()] if queries.limit(block + 1).count() <= block else None
-    if blocks is None:
-        todo = queries.select("query_id", "embedding").toLocalIterator(prefetchPartitions=True)
-        blocks = []
-        part = []
-        for row in todo:
-            part.append(row)
-            if len(part) == block:
-                blocks.append(pd.DataFrame(part, columns=["query_id", "embedding"]))
-                part = []
-        if part:
-            blocks.append(pd.DataFrame(part, columns=["query_id", "embedding"]))
-    if sum(map(len, blocks)) == 0:
+    asked = queries.select("query_id", "embedding")
+    if queries.limit(block + 1).count() > block:
+        return _ranked(_tiled(vectors, asked, k, metric, id_col, vector_col), k, id_col)
+    frame = asked.toPandas()
+    if not len(frame):
         return vectors.select(F.lit(0).cast("long").alias("query_id"), F.col(id_col).cast("long").alias(id_col), F.lit(0.0).alias("score"), F.lit(0).alias("rank")).limit(0)
-    out = None
-    for frame in blocks:
-        found = _one_block(vectors, frame, k, metric, id_col, vector_col)
-        out = found if out is None else out.unionByName(found)
+    return _ranked(_one_block(vectors, frame, k, metric, id_col, vector_col), k, id_col)
+
+
+def _ranked(found: DataFrame, k: int, id_col: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc(id_col)))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k)
+    return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+#: Queries that a task holds at most, and tasks that share all pairs at least.
+HELD, TASKS = 1 << 15, 64
+
+
+def _tiled(vectors: DataFrame, queries: DataFrame, k: int, metric: str, id_col: str, vector_col: str) -> DataFrame:
+    """(query_id, id, score): the k best of each slice of the vectors. Groups of queries meet slices of vectors; the driver holds neither."""
+    n, asked = vectors.count(), queries.count()
+    groups = -(-asked // HELD)
+    slices = max(1, min(-(-TASKS // groups), -(-n // 1024)))
+    count = lambda m: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(m - 1).cast("long")))
+    zero = F.lit(0).cast("long").alias("_k2")
+    part = lambda c, m: F.pmod(F.xxhash64(c), F.lit(m))
+    q = queries.where("embedding is not null").select(F.col("query_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v"))
+    v = vectors.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    small = "array<float>" if dict(vectors.dtypes)[vector_col] == dict(queries.dtypes)["embedding"] == "array<float>" else "array<double>"
+    q, v = (x.withColumn("v", F.col("v").cast(small)) for x in (q, v))
+    held = q.select("id", "v", part("id", groups).alias("_k0"), count(slices).alias("_k1"), zero)
+    streamed = v.select("id", "v", count(groups).alias("_k0"), part("id", slices).alias("_k1"), zero)
+    return tiles.met(held, streamed, groups * slices, lambda table: _Best(table, k, metric, id_col).both(), f"query_id long, {id_col} long, score double")
+
+
+class _Best:
+    """The k best of streamed vectors for each held query, by score down, then id up.
+
+    Products in single precision find what can reach a query's k-th score, with room for their rounding; scores are then summed in
+    double precision in the order of places, so that equal vectors score alike. Odd vectors are scored in full."""
+
+    def __init__(self, table: pa.Table, k: int, metric: str, id_col: str):
+        self.ids = table["id"].to_numpy()
+        self.q, whole = tiles.matrix(table["v"].combine_chunks())
+        if len(whole) < len(self.ids):
+            raise ValueError("queries must have equal lengths and no null elements")
+        self.k, self.metric, self.id_col = k, metric, id_col
+        self.square = _in_order(self.q, self.q)
+        self.norm = np.sqrt(self.square)
+        self.fast = metric != "euclidean" and bool((self.norm > 1e-6).all() and (self.norm < 1e15).all())
+        self.unit = (self.q / np.where(self.norm > 0, self.norm, 1)[:, None]).astype(np.float32) if self.fast else None
+        self.room = (self.q.shape[1] + 8) * 2.4e-7
+        self.bar = np.full(len(self.ids), -np.inf)
+        self.found = [(np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))]
+
+    def both(self):
+        return self.step, self.end
+
+    def step(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        ids, column = batch.column("id").to_numpy(), batch.column("v")
+        rest = np.ones(len(ids), bool)
+        m, whole = tiles.matrix(column)
+        if self.fast and m.shape[1] == self.q.shape[1]:
+            square = _in_order(m, m)
+            norm = np.sqrt(square)
+            plain = (norm > 1e-6) & (norm < 1e15)
+            m, square, norm, whole = m[plain], square[plain], norm[plain], whole[plain]
+            rest[whole] = False
+            for x in range(0, len(m), 1024):
+                self._products(m[x : x + 1024], square[x : x + 1024], norm[x : x + 1024], ids[whole[x : x + 1024]])
+        odd = np.flatnonzero(rest)
+        for x in range(0, len(odd), 256):
+            at = odd[x : x + 256]
+            for y in range(0, len(self.q), 2048):
+                query, place, score = _best_of(_scores(self.q[y : y + 2048], column.take(pa.array(at)), self.metric), pa.array(ids[at]), self.k)
+                self.found.append((query + y, ids[at][place], score))
+            self._settle()
+        return iter(())
+
+    def _products(self, m: np.ndarray, square: np.ndarray, norm: np.ndarray, ids: np.ndarray) -> None:
+        scale = norm if self.metric == "cosine" else np.full(len(m), norm.max())
+        unit = (m / scale[:, None]).astype(np.float32).T.copy()
+        for y in range(0, len(self.q), 1024):
+            s = self.unit[y : y + 1024] @ unit
+            bar = self.bar[y : y + 1024] / (1 if self.metric == "cosine" else self.norm[y : y + 1024] * scale[0]) - self.room
+            open_ = np.flatnonzero(np.isneginf(bar))
+            if len(open_) and s.shape[1] > self.k:
+                bar[open_] = np.partition(s[open_], s.shape[1] - self.k, axis=1)[:, s.shape[1] - self.k] - 2 * self.room
+            i, j = np.nonzero(s >= bar[:, None].astype(np.float64).astype(np.float32) - np.float32(1e-7))
+            if len(i):
+                score = _in_order(self.q[y + i], m[j])
+                if self.metric == "cosine":
+                    score = np.clip(score / np.sqrt(self.square[y + i] * square[j]), -1, 1)
+                self.found.append((y + i, ids[j], score))
+        if sum(len(x[0]) for x in self.found[1:]) > len(self.q) // 2:
+            self._settle()
+
+    def _settle(self) -> None:
+        query, ids, score = (np.concatenate(x) for x in zip(*self.found))
+        order = np.lexsort((ids, -score, query))
+        query, ids, score = query[order], ids[order], score[order]
+        place = np.arange(len(query)) - np.searchsorted(query, query)
+        last = place == self.k - 1
+        self.bar[query[last]] = score[last]
+        inside = place < self.k
+        self.found = [(query[inside], ids[inside], score[inside])]
+
+    def end(self) -> Iterator[pa.RecordBatch]:
+        self._settle()
+        query, ids, score = self.found[0]
+        yield pa.RecordBatch.from_arrays([pa.array(self.ids[query]), pa.array(ids), pa.array(score)], ["query_id", self.id_col, "score"])
+
+
+def _in_order(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products of rows, summed from the first place to the last."""
+    out = np.zeros(len(a))
+    for k in range(a.shape[1]):
+        out += a[:, k] * b[:, k]
+    return out
 
 
 def _one_block(vectors: DataFrame, frame: pd.DataFrame, k: int, metric: str, id_col: str, vector_col: str) -> DataFrame:

@@ -117,3 +117,32 @@ def test_traverse_goes_past_hubs(spark):
     e = spark.range(1, 1301).select(F.col("id").alias("src"), F.lit(0).cast("long").alias("dst"), F.lit("E").alias("type"))
     assert graph.traverse(e, 0, 2).count() == 1300
     assert graph.traverse(e, 0, 2, 7).count() == 7 and graph.traverse(e, 0, 2, None, 9).count() == 9
+
+
+def test_many_queries_leave_the_driver_alone(spark, monkeypatch):
+    """Groups and slices give what all pairs give, with equal vectors, odd ones and zeros; no query passes through the driver."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    from quarrion.operators import search
+
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.integers(-3, 4, 4)]) for i in range(300)] + [(i, [1.0, 2.0, 0.0, 1.0]) for i in range(300, 320)] + [(320, [0.0] * 4), (321, [1e-9, 0.0, 0.0, 0.0])]
+    odd = [(330, [1.0, 2.0]), (331, [1.0, None, 2.0, 1.0]), (332, None)]
+    v, q = (spark.createDataFrame(x, "vec_id long, embedding array<float>").repartition(3) for x in (rows + odd, rows))
+    monkeypatch.setattr(search, "HELD", 100)
+    for metric in ("cosine", "inner", "euclidean"):
+        score = search.METRICS[metric](F.col("x"), F.col("embedding"))
+        pairs = q.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("x")).crossJoin(v.where("embedding is not null")).select("query_id", "vec_id", F.round(score, 9).alias("s"))
+        want = {}
+        for r in pairs.collect():
+            want.setdefault(r["query_id"], []).append((-r["s"], r["vec_id"]))
+        with monkeypatch.context() as m:
+            m.setattr(DataFrame, "toLocalIterator", None)
+            found = search.batch_top_k(v, q.withColumnRenamed("vec_id", "query_id"), 4, metric, block=50).collect()
+        got = {}
+        for r in sorted(found, key=lambda r: r["rank"]):
+            got.setdefault(r["query_id"], []).append((-round(r["score"], 9), r["vec_id"]))
+        for query, best in want.items():
+            assert [round(s, 6) for s, _ in got[query]] == [round(s, 6) for s, _ in sorted(best)[:4]]
+            if metric == "inner":
+                assert got[query] == sorted(best)[:4]
