@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stems
 from ..functions.vectors import dot
+from .graph import written
 
 K1, B = 1.2, 0.75
 RRF_K = 60
@@ -47,6 +50,40 @@ def bm25(postings: DataFrame, terms: list, k: int) -> DataFrame:
     return _best(bm25_scores(postings, terms), k)
 
 
+def term_counts(docs: DataFrame, terms: list, tokens: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, dl, f0, f1, ...): tokens of each document and how many of them are each of the terms, counted inside each text's row.
+
+    Texts of one id are one document; those without tokens are left out."""
+    own = docs.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("_w"))
+    own = own.select("id", F.size("_w").cast("double").alias("dl"), F.filter("_w", lambda w: w.isin(list(terms))).alias("_h")).where("dl > 0")
+    counts = [_count("_h", t).alias(f"f{i}") for i, t in enumerate(terms)]
+    return own.select("id", "dl", *counts).groupBy("id").agg(F.sum("dl").alias("dl"), *[F.sum(f"f{i}").alias(f"f{i}") for i in range(len(terms))])
+
+
+def _count(column: str, term: str) -> Column:
+    return F.size(F.filter(column, lambda w: w == F.lit(term))).cast("double")
+
+
+def bm25_text_scores(docs: DataFrame, terms: list, tokens: Callable[[Column], Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """bm25_scores() of the tokens of texts, without a row for each token: texts are read once, a row a document is written."""
+    terms = list(dict.fromkeys(terms))
+    if not terms:
+        return docs.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score")).limit(0)
+    counts = written(term_counts(docs, terms, tokens, id_col, text_col))
+    corpus = counts.agg(F.count("*").cast("double").alias("n"), F.avg("dl").alias("avgdl"), *[F.count_if(F.col(f"f{i}") > 0).cast("double").alias(f"df{i}") for i in range(len(terms))])
+    rows = counts.where("id is not null").where(" or ".join(f"f{i} > 0" for i in range(len(terms)))).crossJoin(F.broadcast(corpus))  # one row
+    total = F.lit(0.0)
+    for i in range(len(terms)):
+        weight, df = F.col(f"f{i}"), F.col(f"df{i}")
+        idf = F.greatest(F.lit(0.0), F.log((F.col("n") - df + 0.5) / (df + 0.5) + 1))
+        total = total + F.when(weight > 0, idf * (weight * (K1 + 1) / (weight + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))).otherwise(0.0)
+    return rows.select("id", total.alias("score"))
+
+
+def bm25_texts(docs: DataFrame, terms: list, k: int, tokens: Callable[[Column], Column]) -> DataFrame:
+    return _best(bm25_text_scores(docs, terms, tokens), k)
+
+
 def max_sim(tokens: DataFrame, query: list[list[float]], k: int, doc_col: str = "doc", vector_col: str = "vector") -> DataFrame:
     """(id, score): for each query token its best product in the document, summed. tokens: one row a token vector."""
     if not query:

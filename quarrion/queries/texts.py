@@ -24,11 +24,11 @@ def _plain(spark, sf_dir) -> DataFrame:
 
 
 def bm25_topk(spark, sf_dir):
-    return retrieval.bm25(_plain(spark, sf_dir), TERMS, 10).select("id", F.round("score", 5).alias("score"))
+    return retrieval.bm25_texts(_docs(spark, sf_dir), TERMS, 10, X.words).select("id", F.round("score", 5).alias("score"))
 
 
 def bm25_stemmed(spark, sf_dir):
-    return retrieval.bm25(retrieval.term_weights(_docs(spark, sf_dir)), ["idiot", "anat", "ention"], 10)
+    return retrieval.bm25_texts(_docs(spark, sf_dir), ["idiot", "anat", "ention"], 10, X.stems)
 
 
 def sparse_dot_topk(spark, sf_dir):
@@ -42,7 +42,7 @@ def _dense(spark, sf_dir):
 
 
 def _lexical(spark, sf_dir):
-    return retrieval.bm25_scores(_plain(spark, sf_dir), TERMS)
+    return retrieval.bm25_text_scores(_docs(spark, sf_dir), TERMS, X.words)
 
 
 def hybrid_rrf(spark, sf_dir):

@@ -146,3 +146,20 @@ def test_many_queries_leave_the_driver_alone(spark, monkeypatch):
             assert [round(s, 6) for s, _ in got[query]] == [round(s, 6) for s, _ in sorted(best)[:4]]
             if metric == "inner":
                 assert got[query] == sorted(best)[:4]
+
+
+ODD_TEXTS = [(1, "The cats, the DOGS and a dog"), (2, None), (3, ""), (4, "... !"), (5, "dogs dogs classes running"), (5, "a second text of five: cats"), (None, "dog cats"), (7, "Ünïcode 123 dog-dog"), (8, "the of and")]
+
+
+def test_bm25_of_texts_equals_that_of_postings(spark):
+    """Texts of one id are one document; and no shuffle carries a row for each word."""
+    from quarrion.functions import text
+    from quarrion.operators import retrieval
+
+    docs = spark.createDataFrame(ODD_TEXTS, "doc_id int, text string").repartition(3)
+    for tokens in (text.words, text.stems):
+        postings = docs.select(F.col("doc_id").alias("id"), F.explode(tokens(F.col("text"))).alias("term")).groupBy("id", "term").agg(F.count("*").cast("double").alias("weight"))
+        for terms in (["dog", "cats", "the", "dog"], ["none"], []):
+            want, got = ({r["id"]: round(r["score"], 9) for r in x.collect()} for x in (retrieval.bm25_scores(postings, terms), retrieval.bm25_text_scores(docs, terms, tokens)))
+            assert got == want
+    assert "explode" not in retrieval.term_counts(docs, ["dog"], text.words)._jdf.queryExecution().executedPlan().toString()
