@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from hashlib import sha256
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -126,15 +130,34 @@ PLACES = 4
 
 
 def hashed_embeddings(docs: DataFrame, dimensions: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, embedding): signed feature hashing. Each stem adds +1 or -1 to PLACES places taken from its SHA-256; length 1."""
-    h = F.sha2("stem", 256)
-    part = lambda i: F.conv(F.substring(h, 1 + 8 * i, 8), 16, 10).cast("long")
-    places = F.array(*[F.struct((part(i) % dimensions).cast("int").alias("at"), F.when(F.floor(part(i) / dimensions) % 2 == 0, 1.0).otherwise(-1.0).alias("sign")) for i in range(PLACES)])
-    counts = docs.select(F.col(id_col).alias("id"), F.explode(stems(F.col(text_col))).alias("stem")).groupBy("id", "stem").agg(F.count("*").alias("n"))
-    hits = counts.select("id", "n", F.explode(places).alias("p")).groupBy("id", F.col("p.at").alias("at")).agg(F.sum(F.col("p.sign") * F.col("n")).alias("v"))
-    held = hits.groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("at", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    raw = F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda j: F.coalesce(F.try_element_at("m", j), F.lit(0.0)) / F.greatest("norm", F.lit(1e-12)))
-    return held.select("id", raw.alias("embedding"))
+    """(id, embedding): signed feature hashing. Each stem adds +1 or -1 to PLACES places taken from its SHA-256; length 1.
+
+    Stems add up inside each text's row, different ones of a batch are hashed once; texts of one id are one document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for x in range(0, batch.num_rows, 2048):
+                part = batch.slice(x, 2048)
+                yield pa.RecordBatch.from_arrays([part.column(0), _hashed(part.column(1), dimensions)], ["id", "v"])
+
+    texts = docs.select(F.col(id_col).alias("id"), F.array_join(stems(F.col(text_col)), " ").alias("stems")).where("stems <> ''")
+    sums = texts.mapInArrow(run, f"id {dict(texts.dtypes)['id']}, v array<double>").groupBy("id").agg(F.array(*[F.sum(F.get("v", F.lit(j))) for j in range(dimensions)]).alias("v"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))
+    return sums.select("id", "v", norm.alias("norm")).select("id", F.transform("v", lambda x: x / F.greatest(F.col("norm"), F.lit(1e-12))).alias("embedding"))
+
+
+def _hashed(texts: pa.Array, dimensions: int) -> pa.Array:
+    """Sums of the places and signs of each text's stems, which spaces part."""
+    lists = pc.split_pattern(texts, " ")
+    row = np.repeat(np.arange(len(texts)), np.asarray(pc.list_value_length(lists)))
+    coded = lists.flatten().dictionary_encode()
+    heads = np.frombuffer(b"".join(sha256(w.encode()).digest()[: 4 * PLACES] for w in coded.dictionary.to_pylist()), ">u4").reshape(-1, PLACES).astype(np.int64)
+    stem = coded.indices.to_numpy()
+    at, sign = heads % dimensions, 1.0 - 2.0 * (heads // dimensions % 2)
+    out = np.zeros(len(texts) * dimensions)
+    for i in range(PLACES):
+        out += np.bincount(row * dimensions + at[stem, i], sign[stem, i], len(out))
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, len(out) + 1, dimensions, dtype=np.int32)), pa.array(out))
 
 
 def recall(found: DataFrame, expected: DataFrame) -> DataFrame:

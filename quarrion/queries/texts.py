@@ -85,7 +85,7 @@ def phonetic_codes(spark, sf_dir):
 def hashed_embeddings(spark, sf_dir):
     """Nearest documents to a text by feature-hashed embeddings."""
     e = retrieval.hashed_embeddings(_docs(spark, sf_dir), 32)
-    q = e.where("id = 1").first()
+    q = retrieval.hashed_embeddings(_docs(spark, sf_dir).where("doc_id = 1"), 32).first()
     return top_k(e, q["embedding"] if q else [0.0] * 32, 10, "inner", id_col="id").select(F.col("id").alias("doc_id"), F.round("score", 5).alias("score"))
 
 

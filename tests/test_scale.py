@@ -163,3 +163,26 @@ def test_bm25_of_texts_equals_that_of_postings(spark):
             want, got = ({r["id"]: round(r["score"], 9) for r in x.collect()} for x in (retrieval.bm25_scores(postings, terms), retrieval.bm25_text_scores(docs, terms, tokens)))
             assert got == want
     assert "explode" not in retrieval.term_counts(docs, ["dog"], text.words)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hashed_embeddings_by_definition(spark):
+    import hashlib
+
+    from quarrion.functions import text
+    from quarrion.operators import retrieval
+
+    docs = spark.createDataFrame(ODD_TEXTS, "doc_id int, text string").repartition(3)
+    want = {}
+    for r in docs.select("doc_id", text.stems(F.col("text")).alias("s")).collect():
+        for s in r["s"] or []:
+            v = want.setdefault(r["doc_id"], [0.0] * 16)
+            for i in range(4):
+                x = int(hashlib.sha256(s.encode()).hexdigest()[8 * i : 8 * i + 8], 16)
+                v[x % 16] += 1 - 2 * (x // 16 % 2)
+    e = retrieval.hashed_embeddings(docs, 16)
+    got = {r["id"]: r["embedding"] for r in e.collect()}
+    assert got.keys() == want.keys()
+    for k, v in want.items():
+        n = math.sqrt(sum(x * x for x in v))
+        assert np.allclose(got[k], [x / max(n, 1e-12) for x in v], atol=1e-12)
+    assert "explode" not in e._jdf.queryExecution().executedPlan().toString()
