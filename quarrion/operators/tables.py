@@ -11,6 +11,16 @@ from pyspark.sql import functions as F
 from .filters import row_security
 
 
+#: Rows of a table dealt out by key that a task takes.
+DEALT = 500_000
+
+
+def dealt(rows: DataFrame, *keys: str, most: int | None = None) -> DataFrame:
+    """rows shuffled by keys into as many partitions as keep a task's share bounded; most: how many rows there are, if it is known."""
+    n = rows.count() if most is None else most
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // DEALT)), *keys)
+
+
 def fold_log(log: DataFrame, key: str, order: str, deleted: str | None = None, upto: int | None = None) -> DataFrame:
     """Newest row of each key, keys whose newest row is a deletion left out; upto reads the state at that order.
 

@@ -113,17 +113,18 @@ def binary_projection(bindings: DataFrame, sources: list[str], targets: list[str
 
 def schema_violations(bindings: DataFrame, roles: list[tuple[str, int, int]]) -> DataFrame:
     """(relation_id, role, problem): unknown roles, missing ones, and counts outside (role, least, most)."""
-    spark = bindings.sparkSession
-    rules = spark.createDataFrame(roles, "role string, least int, most int")
     counts = bindings.groupBy("relation_id", "role").agg(F.count("*").alias("n"))
-    wanted = bindings.select("relation_id").distinct().crossJoin(F.broadcast(rules))  # the roles of one schema
-    both = counts.join(wanted, ["relation_id", "role"], "full_outer").withColumn("n", F.coalesce("n", F.lit(0)))
-    problem = (
-        F.when(F.col("least").isNull(), "unknown role")
-        .when((F.col("n") == 0) & (F.col("least") > 0), "missing role")
-        .when((F.col("n") < F.col("least")) | (F.col("n") > F.col("most")), "cardinality")
-    )
-    return both.withColumn("problem", problem).where("problem is not null").select("relation_id", "role", "problem")
+    found = counts.groupBy("relation_id").agg(F.collect_list(F.struct("role", "n")).alias("found"))
+    tell = [_told(role, least, most) for role, least, most in roles]
+    unknown = F.transform(F.filter("found", lambda x: F.coalesce(~x["role"].isin([r for r, _, _ in roles]), F.lit(True))), lambda x: F.struct(x["role"].alias("role"), F.lit("unknown role").alias("problem")))
+    each = found.select("relation_id", F.explode(F.concat(F.array(*tell), unknown) if tell else unknown).alias("x"))
+    return each.where("x.problem is not null").select("relation_id", "x.role", "x.problem")
+
+
+def _told(role: str, least: int, most: int) -> Column:
+    n = F.coalesce(F.get(F.filter("found", lambda x: x["role"] == F.lit(role)), F.lit(0))["n"], F.lit(0))
+    problem = F.when((n == 0) & F.lit(least > 0), "missing role").when((n < least) | (n > most), "cardinality")
+    return F.struct(F.lit(role).alias("role"), problem.alias("problem"))
 
 
 def structural_signature(bindings: DataFrame) -> DataFrame:

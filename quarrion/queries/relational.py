@@ -103,11 +103,11 @@ def status_violations(spark, sf_dir):
 
 
 def _bindings(spark, sf_dir):
-    """One relation for each line: roles order, part and supplier."""
-    li = _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").distinct()
-    rid = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    """One relation for each line: roles order, part and supplier. Dealt by relation once, so that grouping by it needs no further shuffle."""
+    li = _t(spark, sf_dir, "lineitem").select(F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("relation_id"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    li = tables.dealt(li, "relation_id").distinct()
     roles = F.array(*[F.struct(F.lit(r).alias("role"), F.concat(F.lit(p), F.col(c).cast("string")).alias("entity")) for r, p, c in (("order", "O:", "l_orderkey"), ("part", "P:", "l_partkey"), ("supplier", "S:", "l_suppkey"))])
-    return li.select(rid.alias("relation_id"), F.explode(roles).alias("x")).select("relation_id", "x.role", "x.entity")
+    return li.select("relation_id", F.explode(roles).alias("x")).select("relation_id", "x.role", "x.entity")
 
 
 def rel_role_query(spark, sf_dir):

@@ -186,3 +186,83 @@ def test_hashed_embeddings_by_definition(spark):
         n = math.sqrt(sum(x * x for x in v))
         assert np.allclose(got[k], [x / max(n, 1e-12) for x in v], atol=1e-12)
     assert "explode" not in e._jdf.queryExecution().executedPlan().toString()
+
+
+def _exchanges(df):
+    """Shuffles of a plan before it runs."""
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange ")
+
+
+def test_relations_are_dealt_once(spark):
+    """Signatures, fingerprints and checks of lines need the one shuffle that finds lines that repeat."""
+    from quarrion.operators import versions
+    from quarrion.queries.relational import _bindings
+
+    b = _bindings(spark, "/root/testdata/sf0.001")
+    for df in (versions.structural_signature(b), versions.fingerprint(b), versions.schema_violations(b, [("part", 1, 1)])):
+        assert _exchanges(df) == 1
+
+
+def test_schema_violations_of_odd_relations(spark):
+    from quarrion.operators import versions
+
+    rows = [("a", "x"), ("a", "x"), ("a", "y"), ("b", "z"), ("b", None), ("c", "x")]
+    b = spark.createDataFrame([(r, o, f"e{i}") for i, (r, o) in enumerate(rows)], "relation_id string, role string, entity string")
+    got = sorted(map(str, map(tuple, versions.schema_violations(b, [("x", 1, 1), ("y", 0, 2)]).collect())))
+    assert got == sorted(map(str, [("a", "x", "cardinality"), ("b", "x", "missing role"), ("b", "z", "unknown role"), ("b", None, "unknown role")]))
+
+
+def test_hyperedges_send_each_binding_once(spark):
+    from quarrion.operators import governance
+
+    b = spark.createDataFrame([("r", "a"), ("r", "a"), ("r", "b"), ("s", "a"), ("s", "q"), ("t", None)], "relation_id string, entity string")
+    whole, rest = governance.hyperedges(b, spark.createDataFrame([("a", "1"), ("b", "1")], "entity string, domain string"))
+    assert [tuple(r) for r in whole.collect()] == [("r", 2, 1)] and sorted(map(tuple, rest.collect())) == [("s", 1), ("t", 1)]
+    assert "Expand" not in whole._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_relations(spark, monkeypatch):
+    """Relations are not joined with themselves; shares of tasks are bounded."""
+    from quarrion.operators import communities, tables
+
+    rng = random.Random(7)
+    rows = [(rng.choice([*range(30), None]), rng.choice(["a", "b", "c", "d", None])) for _ in range(120)]
+    sets, want = {}, {}
+    for r, e in rows:
+        if r is not None and e is not None:
+            sets.setdefault(r, set()).add(e)
+    for s in sets.values():
+        for x in s:
+            for y in s:
+                if x < y:
+                    want[x, y] = want.get((x, y), 0) + 1
+    monkeypatch.setattr(tables, "DEALT", 10)
+    found = communities.pairs_of(spark.createDataFrame(rows, "relation_id int, entity string"))
+    assert {(r["src"], r["dst"]): r["weight"] for r in found.collect()} == want
+    assert "Join" not in found._jdf.queryExecution().executedPlan().toString() and found.rdd.getNumPartitions() == 12
+
+
+def test_long_ways_take_few_rounds(spark, monkeypatch):
+    from quarrion.operators import graph
+
+    cuts = []
+    cut = graph._cut
+    monkeypatch.setattr(graph, "_cut", lambda df: cuts.append(1) or cut(df))
+    ring = [(i, (i + 1) % 150) for i in range(150)]
+    tail = [(200 + i, 201 + i) for i in range(120)] + [(320, 7), (500, 500), (501, 500), (600, 601)]
+    for pairs in (ring + tail, [(b, a) for a, b in ring + tail]):
+        got = {tuple(r) for r in graph.cycles(spark.createDataFrame(pairs, "src int, dst int")).collect()}
+        assert got == {(i, 0) for i in range(150)}
+    assert len(cuts) < 60
+    rng = random.Random(6)
+    for n in (1, 9, 40):
+        to = {i: rng.randrange(n) for i in range(n)}
+        want = set()
+        for v in to:
+            way, at = [v], to[v]
+            while at not in way:
+                way.append(at)
+                at = to[at]
+            if at == v and len(way) > 1:
+                want.add((v, min(way)))
+        assert {tuple(r) for r in graph.cycles(spark.createDataFrame(list(to.items()), "src int, dst int")).collect()} == want
