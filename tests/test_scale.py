@@ -266,3 +266,12 @@ def test_long_ways_take_few_rounds(spark, monkeypatch):
             if at == v and len(way) > 1:
                 want.add((v, min(way)))
         assert {tuple(r) for r in graph.cycles(spark.createDataFrame(list(to.items()), "src int, dst int")).collect()} == want
+
+
+def test_parts_graph_is_made_once(spark):
+    """Rounds of an algorithm read the suppliers' graph, they don't join the lines again."""
+    from quarrion.queries.graphs import _parts_graph
+
+    _, e = _parts_graph(spark, "/root/testdata/sf0.001")
+    plan = e._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "Exchange" not in plan
